@@ -5,12 +5,41 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import exact_dedup, license_scan, prefix_tokens
+from corpusloom.llm import exact_dedup, lang_id, license_scan, near_dedup, prefix_tokens
 from corpusloom.llm.common import read_table
 
 TOKEN_LIMIT = 512
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE [array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, len(ws) - 2)] END) AS sh
+  FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)
+), r AS (
+  SELECT doc_id AS v, doc_id AS u FROM documents UNION SELECT r.v, l.y FROM r JOIN l ON l.x = r.u
+), c AS (SELECT v, min(u) AS component_id FROM r GROUP BY v)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.v = w.doc_id
+"""
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.predict(read_table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return prefix_tokens.count(docs, public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT)
@@ -47,8 +76,10 @@ FROM d LEFT JOIN known ON known.h = d.canonical_sha256
 
 
 QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
 }
-SQL = {"op8_exact_dedup": OP8_SQL, "op10_license_scan": _op10_sql()}
+SQL = {"op2_near_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op10_license_scan": _op10_sql()}
