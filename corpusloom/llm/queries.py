@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, lang_id, license_scan, near_dedup, prefix_tokens
+from corpusloom.llm import decontaminate, exact_dedup, lang_id, license_scan, mixing, near_dedup, prefix_tokens
 from corpusloom.llm.common import read_table
 
 TOKEN_LIMIT = 512
@@ -36,6 +37,15 @@ FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.v = w.doc_id
 """
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.draw(read_table(spark, sf_dir, "documents"))
+    return drawn.select("doc_id", "source", "lang", mixing.topic_of(F.col("text")).alias("topic"), mixing.token_weight(F.col("text")).alias("n_words"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict(read_table(spark, sf_dir, "documents"))
 
@@ -77,6 +87,8 @@ FROM d LEFT JOIN known ON known.h = d.canonical_sha256
 
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_mixing": op4_mixing,
     "op6_token_counts": op6_token_counts,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
