@@ -6,12 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, exact_dedup, lang_id, license_scan, mixing, near_dedup, prefix_tokens
-from corpusloom.llm.common import read_table
+from corpusloom.llm import decontaminate, exact_dedup, lang_id, license_scan, mixing, near_dedup, prefix_tokens, warc
+from corpusloom.llm.common import Scratch, read_table
 
 TOKEN_LIMIT = 512
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark, 'op1').path}/archives"
+    warc.write_archives(read_table(spark, sf_dir, "pages"), path)
+    records = warc.read_archives(spark, path, with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, payload_bytes >= 100 AND page_id > min(page_id) OVER (PARTITION BY payload_digest) AS again, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
+FROM f
+"""
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -86,6 +101,7 @@ FROM d LEFT JOIN known ON known.h = d.canonical_sha256
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_near_dedup": op2_near_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_mixing": op4_mixing,
@@ -94,4 +110,4 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
 }
-SQL = {"op2_near_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op10_license_scan": _op10_sql()}
+SQL = {"op1_warc": OP1_SQL, "op2_near_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op10_license_scan": _op10_sql()}
