@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, exact_dedup, lang_id, license_scan, mixing, near_dedup, prefix_tokens, warc
+from corpusloom.llm import decontaminate, exact_dedup, lang_id, license_scan, mixing, near_dedup, prefix_tokens, substring_dedup, warc
 from corpusloom.llm.common import Scratch, read_table
 
 TOKEN_LIMIT = 512
@@ -70,6 +70,23 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tokens.count(docs, public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.removals(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP7_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+m AS (SELECT win, min(doc_id) AS low FROM g GROUP BY win),
+c AS (SELECT DISTINCT g.doc_id, unnest(range(g.i, g.i + 13)) AS i FROM g JOIN m ON g.win = m.win WHERE m.low < g.doc_id),
+r AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE [x FOR x, i IN ws IF NOT list_contains(gone, i)] END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id)
+"""
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(read_table(spark, sf_dir, "documents"))
 
@@ -106,8 +123,9 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_mixing": op4_mixing,
     "op6_token_counts": op6_token_counts,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
 }
-SQL = {"op1_warc": OP1_SQL, "op2_near_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op10_license_scan": _op10_sql()}
+SQL = {"op1_warc": OP1_SQL, "op2_near_dedup": OP2_SQL, "op7_substring_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op10_license_scan": _op10_sql()}
