@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, exact_dedup, lang_id, license_scan, mixing, near_dedup, prefix_tokens, substring_dedup, warc
+from corpusloom.llm import decontaminate, exact_dedup, lang_id, license_scan, mixing, near_dedup, prefix_tokens, substring_dedup, toxicity, warc
 from corpusloom.llm.common import Scratch, read_table
 
 TOKEN_LIMIT = 512
@@ -65,6 +65,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict(read_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return prefix_tokens.count(docs, public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT)
@@ -122,6 +126,7 @@ QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
