@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import TITLE_SPACE, content_chars
@@ -11,15 +11,14 @@ from corpusloom.functions.url import EDGE_SPACE
 N, MIN_SHARE, MIN_PAGES, MIN_SPAN = 5, 0.5, 3, 8
 
 
-def _grams(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """``rows`` with the array of all N-grams of a text, in order.
+#: Looks ahead from every character (not from the second half of one) for N of them; one pass over a
+#: text, where substrings by place would each walk it from the start.
+_GRAM = rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{N}}}))"
 
-    The text is split into characters once and grams are put together from those; taking
-    substrings of a string costs its whole length each time.
-    """
-    at = lambda i, k: F.get(F.col("_chars"), i + k)
-    grams = F.transform(F.slice("_chars", 1, F.greatest(F.size("_chars") - (N - 1), F.lit(0))), lambda c, i: F.concat(c, *[at(i, k) for k in range(1, N)]))
-    return rows.withColumn("_chars", F.split(text, "")).withColumn(name, grams).drop("_chars")
+
+def _grams(text: str) -> Column:
+    """All N-grams of a text, in order."""
+    return F.regexp_extract_all(F.col(text), F.lit(_GRAM), 1)
 
 
 def learn_templates(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
@@ -32,7 +31,7 @@ def learn_templates(docs: DataFrame, host: str = "source", text: str = "text") -
     pages = docs.select(F.col(host).alias("host"), flat.alias("t")).filter(F.length("t") >= N)
     need = F.greatest(F.lit(2), F.ceil(F.lit(MIN_SHARE) * F.count(F.lit(1)))).alias("need")
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), need).filter(F.col("pages") >= MIN_PAGES)
-    grams = _grams(pages, "t", "grams").select("host", F.explode(F.array_distinct("grams")).alias("gram"))
+    grams = pages.select("host", F.explode(F.array_distinct(_grams("t"))).alias("gram"))
     counted = grams.groupBy("host", "gram").agg(F.count(F.lit(1)).alias("df"))
     return counted.join(hosts, "host").filter("df >= need").select("host", "gram")
 
@@ -46,7 +45,7 @@ def strip_templates(docs: DataFrame, templates: DataFrame, key: str = "doc_id",
     rows = docs.select(F.col(key).alias("key"), F.col(host).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     lines = rows.select("key", "host", F.posexplode(F.split("text", "\n")).alias("line", "s"))
     long = lines.filter(F.length("s") >= N)
-    grams = _grams(long, "s", "grams").select("key", "host", "line", F.posexplode("grams").alias("at", "gram"))
+    grams = long.select("key", "host", "line", F.posexplode(_grams("s")).alias("at", "gram"))
     hits = grams.join(templates, ["host", "gram"], "left_semi")
     # a run of covered characters is a run of hits whose starts are less than N + 1 apart
     order = Window.partitionBy("key", "line").orderBy("at")

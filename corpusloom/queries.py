@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text, url
 from corpusloom.operators import discover, extract, frontier, metrics, robots, sample, templates, titles
+from corpusloom.storage import shared_dir
+from corpusloom.streaming import pages as stream
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -349,15 +353,6 @@ p AS (SELECT doc_id, source AS host, regexp_replace(coalesce(text, ''), '{text.T
 hosts AS (SELECT host, greatest(2, ceil(0.5 * count(*))) AS need FROM q GROUP BY host HAVING count(*) >= 3),
 df AS (SELECT host, gram, count(*) AS n FROM (SELECT DISTINCT doc_id, host, substring(t, i::INT, 5) AS gram FROM (SELECT doc_id, host, t, unnest(range(1, length(t) - 3)) AS i FROM q)) GROUP BY host, gram),
 grams AS (SELECT df.host, gram FROM df JOIN hosts USING (host) WHERE n >= need)"""
-_STRIP_SQL = f"""
-l AS (SELECT doc_id, source AS host, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS s FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
-h AS (SELECT g.* FROM (SELECT doc_id, host, line, s, i, substring(s, i::INT, 5) AS gram FROM (SELECT *, unnest(range(1, length(s) - 3)) AS i FROM l WHERE length(s) >= 5)) g SEMI JOIN grams ON grams.host = g.host AND grams.gram = g.gram),
-r AS (SELECT *, sum(b) OVER (PARTITION BY doc_id, line ORDER BY i) AS run FROM (SELECT doc_id, line, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, line ORDER BY i) <= 5 THEN 0 ELSE 1 END AS b FROM h)),
-c AS (SELECT doc_id, line, min(i) AS a, max(i) + 5 AS z FROM r GROUP BY doc_id, line, run HAVING max(i) + 5 - min(i) >= 8),
-gone AS (SELECT DISTINCT doc_id, line, unnest(range(a, z)) AS i FROM c),
-kept AS (SELECT l.doc_id, l.line, string_agg(substring(s, x.i::INT, 1), '' ORDER BY x.i) AS s FROM (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM l WHERE (doc_id, line) IN (SELECT DISTINCT doc_id, line FROM c)) x
-  JOIN l ON l.doc_id = x.doc_id AND l.line = x.line ANTI JOIN gone ON gone.doc_id = x.doc_id AND gone.line = x.line AND gone.i = x.i GROUP BY 1, 2)"""
-
 
 @query(f"WITH {_GRAMS_SQL} SELECT host, gram FROM grams")
 def template_grams(spark, d):
@@ -574,3 +569,60 @@ def ablation(spark, d):
 def accepted_documents(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     return rows.select("doc_id", ((F.col("quality") == 1) & (text.content_chars(F.col("text")) >= 300)).alias("accepted"))
+
+
+@query()
+def build_corpus(spark, d):
+    from corpusloom.plans.corpus import build_corpus as build
+
+    return build(table(spark, d, "pages"))
+
+
+@query()
+def crawl_replay(spark, d):
+    from corpusloom.plans.corpus import replay
+
+    return replay(table(spark, d, "pages"))
+
+
+# --- streams: each runs over all that is there and ends
+
+
+def _finish(started) -> None:
+    started.awaitTermination()
+
+
+def _work(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query()
+def stream_extract(spark, d):
+    at = _work(spark, "stream-extract")
+    _finish(stream.extract_by_batch(stream.read_stream(spark, f"{d}/pages.parquet"), f"{at}/titles", f"{at}/out", f"{at}/checkpoint"))
+    return spark.read.parquet(f"{at}/out").drop("batch")
+
+
+@query()
+def stream_extract_online(spark, d):
+    at = _work(spark, "stream-online")
+    out = stream.extract_online(stream.read_stream(spark, f"{d}/pages.parquet"))
+    _finish(out.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out"))
+    return spark.read.parquet(f"{at}/out")
+
+
+@query(f"WITH {_norm_cte('pages', 'url', 'page_id')} SELECT url_norm, min(host) AS host FROM norm WHERE url_norm IS NOT NULL GROUP BY url_norm")
+def stream_first_seen(spark, d):
+    at = _work(spark, "stream-seen")
+    out = stream.first_seen(stream.read_stream(spark, f"{d}/pages.parquet"))
+    _finish(out.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out"))
+    return spark.read.parquet(f"{at}/out")
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) // 1000000 AS begin_s, user_id, count(*) AS requests FROM events GROUP BY 1, 2")
+def stream_request_rates(spark, d):
+    name = f"rates_{uuid.uuid4().hex}"
+    events = stream.read_stream(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = stream.request_rates(events, "user_id", "ts", "1 day", "3650 days")
+    _finish(out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start())
+    return spark.table(name).select(F.unix_seconds("window.start").alias("begin_s"), "user_id", "requests")
