@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text
+from corpusloom.functions import text, url
 from corpusloom.functions.page import Options
 from corpusloom.operators import extract, templates, titles
-from corpusloom.functions import url
+from corpusloom.storage import shared_dir
 
 
 def extract_stats(results: DataFrame) -> DataFrame:
@@ -23,18 +26,18 @@ def extract_stats(results: DataFrame) -> DataFrame:
     )
 
 
-def evaluate(outs: DataFrame, name: str = "", key: str = "page_id", host: str = "host") -> DataFrame:
-    """One row of the metrics of (key, host, real_title, main_content, visible_chars)."""
+def evaluate(outs: DataFrame, by: str = "variant", key: str = "key", site: str = "site") -> DataFrame:
+    """A row of metrics for each value of ``by``, from (by, key, site, real_title, main_content, visible_chars)."""
     c = F.col("main_content")
-    rows = outs.select(text.content_chars(c).alias("n"), text.metric_punct_count(c).alias("p"), F.col("visible_chars").alias("v"), (url.trim(F.col("real_title")) != "").alias("t"), F.contains(c, F.lit("\n")).alias("nl"))
+    rows = outs.select(by, text.content_chars(c).alias("n"), text.metric_punct_count(c).alias("p"), F.col("visible_chars").alias("v"), (url.trim(F.col("real_title")) != "").alias("t"), F.contains(c, F.lit("\n")).alias("nl"))
     n = F.count(F.lit(1))
     share = lambda a, b: F.when(F.coalesce(b, F.lit(0)) == 0, 0.0).otherwise(a / b)
-    sums = rows.agg(
+    sums = rows.groupBy(by).agg(
         share(F.count_if(F.col("n") == 0), n).alias("empty"), share(F.sum("n"), F.sum("v")).alias("coverage"), share(F.sum("p"), F.sum("n")).alias("punct"), share(F.count_if("t"), n).alias("title_ok"),
         share(F.sum("n"), n).alias("avg_chars"), share(F.count_if((F.col("n") > 200) & ~F.col("nl")), n).alias("single_line"),
     )
-    left = templates.residue(outs, key, host, "main_content").select("residue")
-    return sums.crossJoin(left).select(F.lit(name).alias("variant"), "empty", "coverage", "punct", "residue", "title_ok", "avg_chars", "single_line")  # one row by one row
+    left = templates.residue(outs, key, site, "main_content", (by,)).select(by, "residue")
+    return sums.join(left, by, "left").select(by, "empty", "coverage", "punct", F.coalesce("residue", F.lit(0.0)).alias("residue"), "title_ok", "avg_chars", "single_line")
 
 
 #: variant -> (options, with affixes, with templates)
@@ -54,26 +57,33 @@ def with_titles(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", url.host_of(F.col("url")).alias("host"), text.scan_title(F.col("html")).alias("title"))
 
 
-def variant(pages: DataFrame, options: Options, with_affixes: bool, with_templates: bool) -> DataFrame:
-    """Extraction of all pages in one variant, learned over whole hosts: page_id, host, real_title, main_content and the page's statistics."""
-    known = titles.learn_affixes(with_titles(pages)) if with_affixes else None
-    outs = extract.extract_pages(pages, known, options)
-    if not with_templates:
-        return outs
-    cut = templates.strip_templates(outs, templates.learn_templates(outs, "host", "main_content"), "page_id", "host", "main_content")
-    return outs.join(cut.select("page_id", "stripped"), "page_id").withColumn("main_content", F.col("stripped")).drop("stripped")
-
-
 def ablation(pages: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """A row of metrics for each variant."""
-    visible = pages.select("page_id", text.visible_chars(F.col("html")).alias("visible_chars"))
-    out = None
+    """A row of metrics for each variant.
+
+    Variants that differ only by templates share an extraction, and all of them are cut and
+    measured in one plan, whose sites are a variant's hosts. What the parser gives is written
+    out, since several aggregates read it.
+    """
+    spark = pages.sparkSession
+    at = f"{shared_dir(spark)}/ablation-{uuid.uuid4().hex}"
+    kinds: dict[tuple, list[str]] = {}
     for name in names or list(VARIANTS):
-        # several aggregates read the result; the parser is to run once for it
-        done = variant(pages, *VARIANTS[name]).select("page_id", "host", "real_title", "main_content").join(visible, "page_id").persist()
-        row = evaluate(done, name)
-        out = row if out is None else out.unionByName(row)
-    return out
+        options, with_affixes, _ = VARIANTS[name]
+        kinds.setdefault((options, with_affixes), []).append(name)
+    known = titles.learn_affixes(with_titles(pages))
+    parts = [
+        extract.extract_pages(pages, known if with_affixes else None, options).select(F.explode(F.array(*map(F.lit, own))).alias("variant"), "page_id", "host", "real_title", "main_content")
+        for (options, with_affixes), own in kinds.items()
+    ]
+    outs = reduce(DataFrame.unionByName, parts).withColumns({"key": F.concat_ws(" ", "variant", "page_id"), "site": F.concat_ws(" ", "variant", "host")})
+    outs.write.parquet(f"{at}/extracted")
+    outs = spark.read.parquet(f"{at}/extracted")
+    cutting = [name for own in kinds.values() for name in own if VARIANTS[name][2]]
+    learned = templates.learn_templates(outs.filter(F.col("variant").isin(cutting)), "site", "main_content")
+    cut = templates.strip_templates(outs, learned, "key", "site", "main_content").select("key", F.col("stripped").alias("main_content"))
+    visible = pages.select("page_id", text.visible_chars(F.col("html")).alias("visible_chars"))
+    outs.drop("main_content").join(cut, "key").join(visible, "page_id").write.parquet(f"{at}/cut")
+    return evaluate(spark.read.parquet(f"{at}/cut"))
 
 
 def markdown(rows: list) -> str:

@@ -66,11 +66,11 @@ def strip_templates(docs: DataFrame, templates: DataFrame, key: str = "doc_id",
     return out.select(F.col("key").alias(key), F.col("host").alias(host), F.when(safe, F.col("text")).otherwise(F.col("cut")).alias("stripped"))
 
 
-def residue(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
-    """One row: the share of characters that templates learned on the texts themselves would still cut."""
+def residue(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
+    """The share of characters that templates learned on the texts themselves would still cut: one row, or one for each value of ``by``."""
     templates = learn_templates(docs, host, text)
     after = strip_templates(docs, templates, key, host, text).select(key, "stripped")
     hosts = templates.select(F.col("host").alias(host)).distinct()
-    counted = docs.join(hosts, host, "left_semi").join(after, key).select(content_chars(F.col(text)).alias("before"), content_chars(F.col("stripped")).alias("after"))
-    sums = counted.agg(F.coalesce(F.sum("before"), F.lit(0)).alias("b"), F.coalesce(F.sum("after"), F.lit(0)).alias("a"))
-    return sums.select((F.col("b") - F.col("a")).alias("cut_chars"), F.col("b").alias("chars"), F.when(F.col("b") == 0, 0.0).otherwise((F.col("b") - F.col("a")) / F.col("b")).alias("residue"))
+    counted = docs.join(hosts, host, "left_semi").join(after, key).select(*by, content_chars(F.col(text)).alias("before"), content_chars(F.col("stripped")).alias("after"))
+    sums = counted.groupBy(*by).agg(F.coalesce(F.sum("before"), F.lit(0)).alias("b"), F.coalesce(F.sum("after"), F.lit(0)).alias("a"))
+    return sums.select(*by, (F.col("b") - F.col("a")).alias("cut_chars"), F.col("b").alias("chars"), F.when(F.col("b") == 0, 0.0).otherwise((F.col("b") - F.col("a")) / F.col("b")).alias("residue"))

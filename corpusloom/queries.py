@@ -301,6 +301,8 @@ def strip_affixes(spark, d):
 
 # --- texts
 
+_BLANK = r"\s"
+
 
 @query(f"""
 SELECT doc_id, {_chars("text")}::INT AS chars, {_count("text", text.PUNCT)}::INT AS punct, {_count("text", text.METRIC_PUNCT)}::INT AS metric_punct,
@@ -340,7 +342,7 @@ def drop_leading_title(spark, d):
 
 
 @query(rf"""
-SELECT page_id, {_chars(_entities("regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', '', 'g')"))}::INT AS visible_chars,
+SELECT page_id, {_chars(_entities(f"regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript){_BLANK}*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', '', 'g')"))}::INT AS visible_chars,
   substring(sha1(html), 1, 16) AS digest FROM pages""")
 def visible_chars(spark, d):
     return table(spark, d, "pages").select("page_id", text.visible_chars(F.col("html")).alias("visible_chars"), text.digest(F.col("html")).alias("digest"))
@@ -529,8 +531,8 @@ def stratified_sample(spark, d):
 
 @query("""
 WITH c AS (SELECT source, length(coalesce(text, '')) AS c FROM documents), s AS (SELECT list(c ORDER BY c) AS l, count(*) AS n FROM c)
-SELECT n AS rows, (SELECT count(DISTINCT source) FROM c) AS hosts, round((SELECT count(*) FROM c WHERE c = 0) / n, 6) AS empty_share, l[1]::INT AS min_chars, l[least(n - 1, floor(0.25 * n)) + 1]::INT AS p25, l[least(n - 1, floor(0.5 * n)) + 1]::INT AS median,
-  l[least(n - 1, floor(0.75 * n)) + 1]::INT AS p75, l[n]::INT AS max_chars, round((SELECT count(*) FROM c WHERE c >= 300) / n, 6) AS long_share FROM s""")
+SELECT n AS rows, (SELECT count(DISTINCT source) FROM c) AS hosts, round((SELECT count(*) FROM c WHERE c = 0) / n, 6) AS empty_share, l[1]::INT AS min_chars, l[least(n - 1, floor(0.25 * n)::BIGINT) + 1]::INT AS p25, l[least(n - 1, floor(0.5 * n)::BIGINT) + 1]::INT AS median,
+  l[least(n - 1, floor(0.75 * n)::BIGINT) + 1]::INT AS p75, l[n]::INT AS max_chars, round((SELECT count(*) FROM c WHERE c >= 300) / n, 6) AS long_share FROM s""")
 def sample_report(spark, d):
     out = sample.report(table(spark, d, "documents"), "source", F.length(F.coalesce("text", F.lit(""))))
     return out.withColumns({"empty_share": F.round("empty_share", 6), "long_share": F.round("long_share", 6)})

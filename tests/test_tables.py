@@ -153,8 +153,8 @@ def test_relational_container_is_that_of_the_parser(site):
 
 
 def test_ablation_report(site):
-    rows = metrics.ablation(site, ["full", "no-template"]).collect()
-    assert rows[0]["residue"] <= rows[1]["residue"] and metrics.markdown(rows).count("\n") == 4
+    rows = metrics.ablation(site, ["full", "no-template", "no-link"]).orderBy("variant").collect()
+    assert [r["variant"] for r in rows] == ["full", "no-link", "no-template"] and rows[0]["residue"] < rows[2]["residue"] and metrics.markdown(rows).count("\n") == 5
 
 
 def test_columns_agree_with_plain_functions(spark):
