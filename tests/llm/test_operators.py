@@ -187,7 +187,7 @@ def test_myers_against_dynamic_programming():
 
 def test_decontamination(spark, rows, nothing):
     rng = random.Random(5)
-    items = [(k, prose(rng, 14)) for k in range(4)] + [(4, None), (5, "too short"), (6, None), (7, "")]
+    items = [(k, prose(rng, 24)) for k in range(4)] + [(4, None), (5, "too short"), (6, None), (7, "")]
     items.append((8, items[0][1].upper()))
     edited = items[1][1].replace("a", "", 1).replace("e", "oo", 1)
     broken = "".join(c + ("x" if i % 6 == 0 else "") for i, c in enumerate(items[2][1]))
