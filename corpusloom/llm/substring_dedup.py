@@ -133,36 +133,47 @@ def _pieces(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, text_key bigint, anchor bigint, start int, words binary")
 
 
+def _runs_of_pieces(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """All words of pieces, and for each window of theirs: its piece, its first word's place among all, its hash.
+
+    Hashed together, since a piece alone is too short to be worth an array operation.
+    """
+    words = b" ".join(texts).split()
+    sizes = np.fromiter((t.count(b" ") + 1 for t in texts), np.int64, len(texts))
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    at = np.flatnonzero(np.arange(len(words)) + WINDOW <= ends)
+    return words, np.repeat(np.arange(len(texts)), sizes)[at], at, _runs(_hashes(words), WINDOW)[at].view(np.int64)
+
+
 def _windows(pieces: DataFrame) -> DataFrame:
-    """anchor, doc_id, window (its hash) and at (the place in the piece) of each window, with the piece's words for the first time it occurs in a piece."""
+    """anchor, doc_id and window (its hash) of each window of the pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for low in range(0, b.num_rows, 2000):
-                part = b.slice(low, 2000)
-                hashes = [np.unique(_runs(_hashes(w.split()), WINDOW)).view(np.int64) for w in part.column(2).to_pylist()]
-                where = pa.array(np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]), pa.int64())
-                window = np.concatenate(hashes) if hashes else np.empty(0, np.int64)
+            for low in range(0, b.num_rows, 4000):
+                part = b.slice(low, 4000)
+                _, piece, _, window = _runs_of_pieces(part.column(2).to_pylist())
+                where = pa.array(piece, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array(window, pa.int64())], names=["anchor", "doc_id", "window"])
 
     return pieces.select("anchor", "doc_id", "words").mapInArrow(run, "anchor bigint, doc_id bigint, window bigint")
 
 
 def _phrases(lent: DataFrame) -> DataFrame:
-    """anchor, window, owner and words of the phrases that pieces (anchor, doc_id, words, wanted windows) lend."""
+    """anchor, window, owner and words of the phrases that pieces (anchor, doc_id, words, wanted windows) lend.
+
+    A piece may also lend a window that another one is wanted for; the owner is the smallest of the lenders.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, windows, texts = [], [], []
-            for i, (w, wanted) in enumerate(zip(b.column(2).to_pylist(), b.column(3))):
-                words = w.split()
-                runs = _runs(_hashes(words), WINDOW).view(np.int64)
-                for j in np.flatnonzero(np.isin(runs, wanted.values.to_numpy())).tolist():
-                    at.append(i)
-                    windows.append(int(runs[j]))
-                    texts.append(b" ".join(words[j : j + WINDOW]))
-            where = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(where), pa.array(windows, pa.int64()), b.column(1).take(where), pa.array(texts, pa.binary())], names=["anchor", "window", "owner", "words"])
+            for low in range(0, b.num_rows, 4000):
+                part = b.slice(low, 4000)
+                words, piece, at, window = _runs_of_pieces(part.column(2).to_pylist())
+                hit = np.flatnonzero(np.isin(window, part.column(3).flatten().to_numpy()))
+                where = pa.array(piece[hit], pa.int64())
+                texts = [b" ".join(words[k : k + WINDOW]) for k in at[hit].tolist()]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(where), pa.array(window[hit], pa.int64()), part.column(1).take(where), pa.array(texts, pa.binary())], names=["anchor", "window", "owner", "words"])
 
     return lent.select("anchor", "doc_id", "words", "wanted").mapInArrow(run, "anchor bigint, window bigint, owner bigint, words binary")
 
@@ -250,7 +261,7 @@ def _ranges(given: DataFrame, base: DataFrame, scratch: Scratch) -> DataFrame:
     confirmed = _windows(pieces).groupBy("anchor", "window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("high")).filter("owner < high")
     confirmed = scratch.write("confirmed", confirmed.select("anchor", "window", "owner"))
     wanted = confirmed.groupBy("anchor", F.col("owner").alias("doc_id")).agg(F.collect_list("window").alias("wanted"))
-    phrases = _phrases(pieces.join(wanted, ["anchor", "doc_id"])).groupBy("anchor", "window").agg(F.first("owner").alias("owner"), F.first("words").alias("words"))
+    phrases = _phrases(pieces.join(wanted, ["anchor", "doc_id"])).groupBy("anchor", "window").agg(F.min("owner").alias("owner"), F.first("words").alias("words"))
     phrases = scratch.write("phrases", phrases)
     scratch.drop("confirmed")
     shards = max(1, -(-phrases.count() // SHARD_PHRASES))
