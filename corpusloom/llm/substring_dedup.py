@@ -42,7 +42,7 @@ from corpusloom.llm.common import BROADCAST_ROWS, Scratch, heavy_safe_join
 
 WINDOW, ANCHOR = 13, 5
 #: Phrases in one automaton, and pieces of a shard in one task.
-SHARD_PHRASES, SHARD_PIECES = 20_000, 200_000
+SHARD_PHRASES, SHARD_PIECES = 10_000, 200_000
 
 _rng = np.random.default_rng(20240707)
 _MUL = _rng.integers(0, 1 << 63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -160,42 +160,63 @@ def _windows(pieces: DataFrame) -> DataFrame:
 
 
 def _phrases(lent: DataFrame) -> DataFrame:
-    """anchor, window, owner and words of the phrases that pieces (anchor, doc_id, words, wanted windows) lend.
-
-    A piece may also lend a window that another one is wanted for; the owner is the smallest of the lenders.
-    """
+    """anchor, owner, words and n of the passages that pieces (anchor, doc_id, words, wanted windows) lend: stretches of n wanted windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low in range(0, b.num_rows, 4000):
                 part = b.slice(low, 4000)
                 words, piece, at, window = _runs_of_pieces(part.column(2).to_pylist())
-                hit = np.flatnonzero(np.isin(window, part.column(3).flatten().to_numpy()))
-                where = pa.array(piece[hit], pa.int64())
-                texts = [b" ".join(words[k : k + WINDOW]) for k in at[hit].tolist()]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(where), pa.array(window[hit], pa.int64()), part.column(1).take(where), pa.array(texts, pa.binary())], names=["anchor", "window", "owner", "words"])
+                lists = part.column(3)
+                of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()).astype(np.uint64)
+                pair = lambda w, k: w.view(np.uint64) * _MUL[0] + k * _MUL[1]
+                own = np.isin(pair(window, piece.astype(np.uint64)), pair(lists.flatten().to_numpy(), of))
+                found = _stretches(own, piece)
+                where = pa.array(piece[[a for a, _ in found]].astype(np.int64), pa.int64())
+                texts = [b" ".join(words[at[a] : at[z - 1] + WINDOW]) for a, z in found]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array(texts, pa.binary()), pa.array([z - a for a, z in found], pa.int32())], names=["anchor", "owner", "words", "n"])
 
-    return lent.select("anchor", "doc_id", "words", "wanted").mapInArrow(run, "anchor bigint, window bigint, owner bigint, words binary")
+    return lent.select("anchor", "doc_id", "words", "wanted").mapInArrow(run, "anchor bigint, owner bigint, words binary, n int")
 
 
 class Phrases:
-    """An automaton over words; every phrase has its owner."""
+    """An automaton over words; every phrase has its owner.
+
+    A word is written as two characters of separate alphabets, so that a phrase matches only
+    from a word's beginning, and no node of the automaton has more than some hundred successors,
+    which it searches one by one.
+    """
+
+    _UNKNOWN = "\uf000\uf001"
 
     def __init__(self):
-        self.numbers: dict[bytes, int] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.codes: dict[bytes, str] = {}
+        self.automaton = ahocorasick.Automaton()
+
+    def _code(self, word: bytes) -> str:
+        known = self.codes.get(word)
+        if known is None:
+            n = len(self.codes)
+            known = self.codes[word] = chr(0x10000 + n // 256) + chr(0x4000 + n % 256)
+        return known
 
     def add(self, words: bytes, owner: int) -> None:
-        self.automaton.add_word(tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in words.split()), owner)
+        """All windows of a passage."""
+        coded = "".join(map(self._code, words.split()))
+        for k in range(0, len(coded) - 2 * WINDOW + 1, 2):
+            self.automaton.add_word(coded[k : k + 2 * WINDOW], owner)
 
     def compile(self) -> None:
         self.automaton.make_automaton()
 
     def covered(self, words: bytes, doc_id: int) -> list[tuple[int, int]]:
         """Stretches of words that phrases of smaller documents cover."""
-        number = self.numbers.get
+        get = self.codes.get
         out: list[tuple[int, int]] = []
-        for end, owner in self.automaton.iter(tuple(number(w, 0) for w in words.split())):
+        if not self.codes:  # a part that no passage fell to
+            return out
+        for last, owner in self.automaton.iter("".join([get(w, self._UNKNOWN) for w in words.split()])):
+            end = last // 2
             if owner < doc_id:
                 if out and end - WINDOW + 1 <= out[-1][1]:
                     out[-1] = (out[-1][0], end + 1)
@@ -261,19 +282,19 @@ def _ranges(given: DataFrame, base: DataFrame, scratch: Scratch) -> DataFrame:
     confirmed = _windows(pieces).groupBy("anchor", "window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("high")).filter("owner < high")
     confirmed = scratch.write("confirmed", confirmed.select("anchor", "window", "owner"))
     wanted = confirmed.groupBy("anchor", F.col("owner").alias("doc_id")).agg(F.collect_list("window").alias("wanted"))
-    phrases = _phrases(pieces.join(wanted, ["anchor", "doc_id"])).groupBy("anchor", "window").agg(F.min("owner").alias("owner"), F.first("words").alias("words"))
+    phrases = _phrases(pieces.join(wanted, ["anchor", "doc_id"]))
     phrases = scratch.write("phrases", phrases)
     scratch.drop("confirmed")
-    shards = max(1, -(-phrases.count() // SHARD_PHRASES))
+    shards = max(1, -(-(phrases.agg(F.sum("n")).first()[0] or 0) // SHARD_PHRASES))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
     # few rows, one for each shard: how many parts its phrases and ways its pieces are spread over
-    per = phrases.groupBy(shard).agg(F.count(F.lit(1)).alias("phrases"))
+    per = phrases.groupBy(shard).agg(F.sum("n").alias("phrases"))
     ways = pieces.groupBy(shard).agg(F.count(F.lit(1)).alias("pieces"))
     plan = scratch.write("plan", per.join(ways, "shard").select("shard", F.ceil(F.col("phrases") / (4 * SHARD_PHRASES)).cast("int").alias("parts"), F.ceil(F.col("pieces") / SHARD_PIECES).cast("int").alias("ways")))
     held = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    known = phrases.select(shard, "window", "owner", "words").join(held, "shard")
-    known = known.select("shard", F.pmod("window", "parts").cast("int").alias("part"), upto("ways").alias("salt"), "owner", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("text_key"), F.lit(None).cast("int").alias("start"), "words")
+    known = phrases.select(shard, "owner", "words").join(held, "shard")
+    known = known.select("shard", F.pmod(F.xxhash64("words"), "parts").cast("int").alias("part"), upto("ways").alias("salt"), "owner", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("text_key"), F.lit(None).cast("int").alias("start"), "words")
     sent = pieces.select(shard, "doc_id", "text_key", "start", "words").join(held, "shard")
     sent = sent.select("shard", upto("parts").alias("part"), F.pmod(F.xxhash64("doc_id", "start"), "ways").cast("int").alias("salt"), F.lit(None).cast("bigint").alias("owner"), "doc_id", "text_key", "start", "words")
     rows = known.unionByName(sent).repartition("shard", "part", "salt").sortWithinPartitions("shard", "part", "salt", F.col("owner").isNull())
