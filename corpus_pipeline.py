@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm import decontaminate, exact_dedup, lang_id, mixing, near_dedup
 from corpusloom.llm.common import Scratch, read_table
 
-#: Documents of a lower score are in none of the known languages.
-MIN_LANGUAGE_SCORE = 0.35
+#: Documents of a lower score are in none of the known languages, or too short to tell.
+#: On 0.1 scale, 14 samples of other languages scored 0.01 at most, 1,955 of 1,960 held-out labelled texts 0.15 or more.
+MIN_LANGUAGE_SCORE = 0.15
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,9 @@ gives landmarks; the Nystrom map through the landmarks turns the kernel into
 features, on which one ridge regression per language is fitted against the
 rest. Scoring is a product of the batch's sparse presence matrix with the
 landmarks' presence matrix, and of the kernel values with the folded weights.
+A text's score is its best margin, 0 to 1. There is no intercept, so a text that shares nothing
+with the landmarks, or is as far from each language as from the rest, scores about 0; so does
+one of whose n-grams less than ``MIN_KNOWN`` are in any landmark.
 
 The sample is at most ``SAMPLE_PER_LANG`` whole texts for each language, the same
 whatever the layout of the table, plus as many short word windows of them, so that
@@ -38,6 +41,8 @@ MAX_N = 3
 SAMPLE_PER_LANG = 240
 LANDMARKS_PER_LANG = 40
 RIDGE = 1e-3
+#: A text of which a smaller share of n-grams is known scores 0: with few languages, its margin would only say what it's less unlike.
+MIN_KNOWN = 0.5
 UNDETERMINED = "und"
 _BLOCK = 32
 _BITS = 21
@@ -104,8 +109,11 @@ class KernelClassifier:
         weights = np.linalg.solve(features.T @ features + RIDGE * len(given) * np.eye(features.shape[1]), features.T @ target)
         self.weights = (root @ weights).astype(np.float32)
 
-    def kernel(self, grams: list[np.ndarray]) -> np.ndarray:
-        """Kernel values of texts (rows) with landmarks: a sparse presence matrix times a dense one, in blocks."""
+    def kernel(self, grams: list[np.ndarray], known: np.ndarray | None = None) -> np.ndarray:
+        """Kernel values of texts (rows) with landmarks: a sparse presence matrix times a dense one, in blocks.
+
+        ``known``, if given, is filled with the share of each text's n-grams that some landmark has.
+        """
         out = np.zeros((len(grams), self.presence.shape[1]), np.float32)
         for at in range(0, len(grams), _BLOCK):
             rows, cols = [], []
@@ -114,6 +122,8 @@ class KernelClassifier:
                 where[where == len(self.vocabulary)] = 0
                 hits = where[self.vocabulary[where] == g]
                 if len(hits):
+                    if known is not None:
+                        known[i] = len(hits) / len(g)
                     rows.append(i)
                     cols.append(hits)
             if rows:
@@ -127,9 +137,11 @@ class KernelClassifier:
         grams = [ngrams(t) for t in texts]
         if not self.langs:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        margin = self.kernel(grams) @ self.weights
+        known = np.zeros(len(grams))
+        margin = self.kernel(grams, known) @ self.weights
         best = margin.argmax(axis=1)
-        score = np.clip((1 + margin[np.arange(len(texts)), best].astype(np.float64)) / 2, 0, 1)
+        score = np.clip(margin[np.arange(len(texts)), best].astype(np.float64), 0, 1)
+        score[known < MIN_KNOWN] = 0.0
         some = np.array([len(g) > 0 for g in grams], bool)
         return [self.langs[b] if s else UNDETERMINED for b, s in zip(best, some)], np.where(some, score, 0.0)
 

@@ -54,3 +54,23 @@ def test_pipeline(spark, tmp_path):
     assert not {400, 401, 402, 403} & {r["doc_id"] for r in out.collect()}
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns, name
+
+
+def test_language_stage_rejects_what_was_not_learned(spark, tmp_path):
+    rng = random.Random(12)
+    other = [w[::-1] + "ü" for w in WORDS]
+    rows = [(i, prose(rng, 50, WORDS if i % 3 else other), "aa" if i % 3 else "bb") for i in range(200)]
+    foreign = [
+        "今天天气很好，我们一起去公园散步吧。孩子们在湖边放风筝。",
+        "Сегодня хорошая погода, и мы пошли гулять в парк.",
+        "الطقس جميل اليوم وذهبنا للتنزه في الحديقة",
+        "Σήμερα ο καιρός είναι καλός και πήγαμε βόλτα στο πάρκο.",
+        "Dzisiaj jest piękna pogoda, więc poszliśmy na spacer do parku. Dzieci bawiły się nad jeziorem.",
+        "xq zvwy jhp qqx ywvz hjxp vvwq zzyx",
+    ]
+    unseen = [(1000 + k, t, None) for k, t in enumerate(foreign)]
+    docs = spark.createDataFrame([*rows, *unseen], "doc_id bigint, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()}
+    assert kept == {r[0] for r in rows}
+    (_,), (score,) = lang_id.fit(docs).predict([foreign[1].replace(" ", "")])
+    assert score < 0.05
