@@ -2,9 +2,12 @@
 
 The corpus is a table of token weights by cell: source, language and topic.
 Raking scales the cells in turn so that each of the three margins meets its target,
-until all do. A document's probability of staying is its cell's raked weight over its
-cell's tokens, times one factor for the whole corpus, at most 1; the factor is chosen
-so that the expected tokens are the wanted share of the corpus. Whether a document
+until all do. No cell can give more than it holds, so raking has that ceiling as a
+constraint: what a full cell lacks is made up within its own margins. The tokens kept are the
+wanted share of the corpus, or as many fewer as it takes for the margins to be met: no
+category can weigh more than it has. A document's probability of staying is its
+cell's kept tokens over its tokens. Targets that contradict each other, so that no weights meet
+them, are met as nearly as the rounds bring them. Whether a document
 stays follows from a hash of its id, its text and a seed, so that a run can be
 repeated.
 
@@ -38,6 +41,9 @@ TEMPERATURE = 0.7
 TOKEN_SHARE = 0.8
 ROUNDS = 60
 TOLERANCE = 1e-6
+#: Margins that miss by less than this are met; and the step to fewer tokens where they aren't.
+MET = 1e-4
+STEP = 0.95
 #: Topics by what a text holds, the first that fits; a table with a topic column goes by that.
 #: Each has strings, one of which must be there, and a pattern that is tried only then.
 TOPICS = [
@@ -91,6 +97,19 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], shares: list[np.ndarray])
     return w / w.sum()
 
 
+def rake_capped(tokens: np.ndarray, codes: list[np.ndarray], shares: list[np.ndarray], wanted: float) -> tuple[np.ndarray, float]:
+    """Tokens kept of each cell, none beyond its own, with sum ``wanted`` and margins that meet ``shares``; and by how much they miss."""
+    w, off = tokens * wanted / tokens.sum(), 0.0
+    for _ in range(ROUNDS):
+        for code, share in zip(codes, shares):
+            now = np.bincount(code, np.minimum(tokens, w), len(share)) / wanted
+            w = w * np.divide(share, now, out=np.zeros_like(share), where=now > 0)[code]
+        off = max(np.abs(np.bincount(code, np.minimum(tokens, w), len(share)) / wanted - share).max() for code, share in zip(codes, shares))
+        if off < TOLERANCE:
+            break
+    return np.minimum(tokens, w), off
+
+
 def scale(weights: np.ndarray, tokens: np.ndarray, wanted: float) -> float:
     """The factor c at which cells kept with probability min(1, c * weight / tokens) have ``wanted`` tokens in expectation."""
     ratio = np.divide(weights, tokens, out=np.zeros_like(weights), where=tokens > 0)
@@ -120,8 +139,16 @@ def _driver_rates(cells: list, given: dict, temperature: float, share: float) ->
         codes.append(code)
         shares.append(np.array([want[x] for x in names]))
     w = rake(tokens, codes, shares)
-    c = scale(w, tokens, share * tokens.sum())
-    return np.minimum(1.0, c * w / tokens).tolist()
+    met = max(np.abs(np.bincount(code, w, len(x)) - x).max() for code, x in zip(codes, shares)) < MET
+    free = np.divide(tokens, w, out=np.full_like(w, np.inf), where=w > 0).min()
+    most = min(np.divide(np.bincount(code, tokens, len(x)), x, out=np.full_like(x, np.inf), where=x > 0).min() for code, x in zip(codes, shares))
+    wanted = min(share * tokens.sum(), most)
+    while wanted > free:
+        kept, off = rake_capped(tokens, codes, shares, wanted)
+        if off < MET or not met:
+            return (kept / tokens).tolist()
+        wanted *= STEP
+    return np.minimum(1.0, min(wanted, free) * w / tokens).tolist() if wanted > 0 else [0.0] * len(tokens)
 
 
 def _spark_rates(cells: DataFrame, given: dict, temperature: float, share: float, scratch: Scratch) -> DataFrame:
@@ -141,26 +168,38 @@ def _spark_rates(cells: DataFrame, given: dict, temperature: float, share: float
             raw = both.select(m, F.coalesce("g", F.lit(left) * F.col("t") / F.lit(float(rest or 1))).alias("raw"))
         all_raw = raw.agg(F.sum("raw")).first()[0] or 1.0
         wanted.append(scratch.write(f"target-{m}", raw.select(F.col(m).alias("k"), (F.col("raw") / F.lit(all_raw)).alias("share"))))
-    w = scratch.write("w-0", cells.withColumn("w", F.col("tokens") / F.lit(float(total))))
-    step = 0
+    most = min(cells.groupBy(F.col(m).alias("c")).agg(F.sum("tokens").alias("t")).join(want, F.col("c").eqNullSafe(F.col("k"))).agg(F.min(F.when(F.col("share") > 0, F.col("t") / F.col("share")))).first()[0] or 0.0 for m, want in zip(MARGINS, wanted))
+    tokens = min(share * total, most)
+    w, off = _spark_rake(cells, wanted, 1.0, total, False, scratch)
+    met = off < MET
+    free = w.agg(F.min(F.when(F.col("w") > 0, F.col("tokens") / F.col("w")))).first()[0] or 0.0
+    while tokens > free:
+        kept, off = _spark_rake(cells, wanted, tokens, total, True, scratch)
+        if off < MET or not met:
+            return kept.withColumn("rate", F.least(F.lit(1.0), F.col("w") / F.col("tokens"))).drop("w")
+        tokens *= STEP
+    return w.withColumn("rate", F.least(F.lit(1.0), F.lit(min(tokens, free)) * F.col("w") / F.col("tokens"))).drop("w")
+
+
+def _spark_rake(cells: DataFrame, wanted: list[DataFrame], of: float, total: int, capped: bool, scratch: Scratch) -> tuple[DataFrame, float]:
+    """``cells`` with weights w of sum ``of`` that meet the margins, and by how much they miss; capped: no weight counts beyond its tokens."""
+    run = uuid.uuid4().hex[:8]
+    counted = F.least(F.col("w"), F.col("tokens").cast("double")) if capped else F.col("w")
+    w = scratch.write(f"{run}-w-0", cells.withColumn("w", F.col("tokens") * F.lit(of / total)))
+    step, off = 0, 0.0
     for _ in range(ROUNDS):
         off = 0.0
         for m, want in zip(MARGINS, wanted):
             step += 1
-            now = w.groupBy(F.col(m).alias("k")).agg(F.sum("w").alias("now"), F.count(F.lit(1)).alias("size"))
-            factor = scratch.write(f"f-{step}", now.join(want, now["k"].eqNullSafe(want["k"])).select(now["k"], "size", "now", "share", F.when(F.col("now") > 0, F.col("share") / F.col("now")).otherwise(0.0).alias("f")))
+            now = w.groupBy(F.col(m).alias("k")).agg((F.sum(counted) / F.lit(of)).alias("now"))
+            factor = scratch.write(f"{run}-f-{step}", now.join(want, now["k"].eqNullSafe(want["k"])).select(now["k"], "now", "share", F.when(F.col("now") > 0, F.col("share") / F.col("now")).otherwise(0.0).alias("f")))
             off = max(off, factor.agg(F.max(F.abs(F.col("now") - F.col("share")))).first()[0] or 0.0)
             w2 = w.join(factor.select("k", "f"), w[m].eqNullSafe(factor["k"])).select(*[w[c] for c in w.columns if c != "w"], (w["w"] * F.col("f")).alias("w"))
-            w = scratch.write(f"w-{step}", w2)
-            scratch.drop(f"w-{step - 1}", f"f-{step}")
+            w = scratch.write(f"{run}-w-{step}", w2)
+            scratch.drop(f"{run}-w-{step - 1}", f"{run}-f-{step}")
         if off < TOLERANCE:
             break
-    low, high = 0.0, w.agg(F.max(F.when(F.col("w") > 0, F.col("tokens") / F.col("w")))).first()[0] or 0.0
-    for _ in range(60):  # the expected tokens grow with c
-        mid = (low + high) / 2
-        got = w.agg(F.sum(F.least(F.col("tokens").cast("double"), F.lit(mid) * F.col("w")))).first()[0]
-        low, high = (mid, high) if got < share * total else (low, mid)
-    return w.withColumn("rate", F.least(F.lit(1.0), F.lit(high) * F.col("w") / F.col("tokens"))).drop("w")
+    return w, off
 
 
 def cell_rates(docs: DataFrame, given: dict | None = None, temperature: float = TEMPERATURE, share: float = TOKEN_SHARE, text_col: str = "text", max_cells: int = MAX_CELLS) -> DataFrame:

@@ -245,6 +245,22 @@ def test_mixing(spark, docs, nothing):
     assert mixing.draw(docs).columns == docs.columns and mixing.draw(nothing).count() == 0
 
 
+def test_mixing_meets_targets_that_cells_cannot_give_at_the_wanted_share(spark):
+    rng = random.Random(10)
+    sizes = {("s0", "aa"): 2600, ("s0", "bb"): 120, ("s1", "aa"): 300, ("s1", "bb"): 300, ("s2", "aa"): 500, ("s2", "bb"): 180}
+    rows = [(f"{s}{lang}{k}", prose(rng, 10), s, lang) for (s, lang), n in sizes.items() for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string, lang string")
+    cells = mixing.cell_rates(docs).collect()
+    kept = sum(r["tokens"] * r["rate"] for r in cells)
+    for m in ("source", "lang", "topic"):
+        totals = {}
+        for r in cells:
+            totals[r[m]] = totals.get(r[m], 0) + r["tokens"]
+        for k, share in mixing.targets(totals, None, mixing.TEMPERATURE if m != "topic" else 1.0).items():
+            assert abs(sum(r["tokens"] * r["rate"] for r in cells if r[m] == k) / kept - share) < 1e-3
+    assert 0.3 < kept / sum(r["tokens"] for r in cells) <= 0.8 and any(r["rate"] > 0.999 for r in cells)
+
+
 # --- toxicity
 
 
