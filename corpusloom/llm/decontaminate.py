@@ -13,8 +13,9 @@ letters and digits as one space. The benchmark is a stated list of items; its si
 checked, and beyond ``MAX_ITEM_CHARS`` characters it is worked through in blocks, one pass over
 the texts for each. The texts are never shuffled.
 
-Defined results: null and empty texts hold nothing; items that are null or shorter
-than ``MIN_CHARS`` in comparable form are left out, as too short to tell. Items with the
+Defined results: null and empty texts hold nothing; items that are null or without a letter
+or digit are in no text. Items shorter than ``MIN_CHARS`` whose budget is 0 have to stand at word
+boundaries; in scripts without blanks every place is one. Items with the
 same comparable text are searched once and reported for each item. Repeated rows each
 get their rows. Extra columns are ignored, or kept by ``drop_contaminated``. Empty tables
 give empty results.
@@ -32,12 +33,14 @@ from pyspark.sql import functions as F
 
 #: Edits allowed for each character of an item.
 EDIT_SHARE = 0.05
-#: Comparable items shorter than this are too short to tell a leak from chance.
+#: Shorter comparable items that allow no edit count only as whole words; they may be met by chance.
 MIN_CHARS = 40
 #: Characters of benchmark items whose automaton a task holds at once.
 MAX_ITEM_CHARS = 20_000_000
 
 _NOT_WORD = regex.compile(r"[^\p{L}\p{N}]+")
+#: Scripts that don't part words by blanks.
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 
 
 def comparable(text: str | None) -> str:
@@ -105,10 +108,15 @@ class PassageFinder:
         if not self.any or not t:
             return []
         starts: dict[int, list[int]] = {}
+        out, whole = [], set()
         for end, (size, where) in self.automaton.iter(t):
             for k, at in where:
-                starts.setdefault(k, []).append(end + 1 - size - at)
-        out = []
+                item, budget, _ = self.items[k]
+                if budget or len(item) >= MIN_CHARS:
+                    starts.setdefault(k, []).append(end + 1 - size - at)
+                elif k not in whole and _boundary(t, end + 1 - size) and _boundary(t, end + 1):
+                    whole.add(k)
+                    out.append((k, 0, end + 1 - size, end + 1))
         for k, at in starts.items():
             item, budget, peq = self.items[k]
             best = (budget + 1, 0, 0)
@@ -122,6 +130,11 @@ class PassageFinder:
         return out
 
 
+def _boundary(t: str, at: int) -> bool:
+    """Whether a word may begin or end at an offset of a comparable text."""
+    return at == 0 or at == len(t) or " " in t[at - 1 : at + 1] or _UNSPACED.search(t, at - 1, at + 1) is not None
+
+
 def _stretches(starts: list[int], size: int, budget: int, n: int) -> list[tuple[int, int]]:
     """Where to search, given where the item would start: joined where they overlap."""
     out: list[tuple[int, int]] = []
@@ -140,7 +153,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
     held = 0
     for r in benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).orderBy("item_id", "text").toLocalIterator():
         t = comparable(r["text"])
-        if len(t) < MIN_CHARS:
+        if not t:
             continue
         if held + len(t) > MAX_ITEM_CHARS and t not in block:
             yield list(block.items())

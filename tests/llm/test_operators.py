@@ -212,6 +212,15 @@ def test_decontamination(spark, rows, nothing):
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_short_items_are_searched_as_whole_words(spark):
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "日本の首都はどこですか。"), (3, "Who am I?"), (4, "?!"), (5, "Où est-il?")], "item_id bigint, text string")
+    rows = [(1, "Q: what is the  Capital of France -- Paris"), (2, "问题:日本の首都はどこですか東京です"), (3, "who am i"), (4, "Who am in there, awho am i"), (5, "awho am i; who am I"), (6, "?!"), (7, "what is the capitol of france"), (8, "what is the capital city of france")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = decontaminate.find_passages(docs, bench)
+    assert got(out.select("doc_id", "item_id", "distance")) == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (5, 3, 0), (7, 1, 1)]
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()} == {4, 6, 8}
+
+
 # --- mixing
 
 
