@@ -42,8 +42,6 @@ _BUFFER = 1 << 20
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _END = b"\r\n\r\n"
 _LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*([0-9]{1,18})[ \t]*(?=\r\n)", re.I)
-#: A longer run without a blank line isn't a header.
-_MAX_HEADER = 64 << 10
 
 
 def _http_head(n_bytes: Column) -> Column:
@@ -101,12 +99,14 @@ class _File:
         size = 4096
         while True:
             data = self.read(at, size)
+            if not _MAGIC.match(data):
+                return b""
             end = data.find(_END)
             if end >= 0:
-                return data[: end + 4] if _MAGIC.match(data) else b""
-            if len(data) < size or size >= _MAX_HEADER:
+                return data[: end + 4]
+            if len(data) < size:
                 return b""
-            size = min(size * 4, _MAX_HEADER)
+            size *= 4  # a header may hold a URL of any length
 
 
 def successor(at: int, header: bytes, length: int) -> int | None:
@@ -227,7 +227,7 @@ def read_archives(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES
                 rows, held = [], 0
                 for at, fields, block in read_records(_File(r["path"]), r["offset"], end, r["length"]):
                     rows.append(parsed(r["path"], at, fields, block))
-                    held += len(block)
+                    held += len(block) + len(fields.get("warc-target-uri", ""))
                     if held > _BUFFER * 4:
                         yield batch(rows)
                         rows, held = [], 0

@@ -469,6 +469,16 @@ def test_warc_round_trip(spark, tmp_path, chunk):
     assert found.count() > out.count()  # magic inside of payloads was a candidate
 
 
+@pytest.mark.parametrize("chunk", [1 << 20, warc.CHUNK_BYTES])
+def test_warc_with_long_urls(spark, tmp_path, chunk):
+    rows = [(i, "data:," + "x" * {3: 70_000, 5: 3_000_000}.get(i, 10), f"<p>{i}" + "y" * 300) for i in range(9)]
+    path = f"file://{tmp_path}/long"
+    warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1), path)
+    out = warc.read_archives(spark, path, chunk)
+    assert sorted((r["page_id"], r["url"], bytes(r["payload"]).decode()) for r in out.collect()) == rows
+    assert warc.broken_chains(spark, path, chunk).count() == 0
+
+
 def test_warc_empty_and_damaged(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     warc.write_archives(pages, f"file://{tmp_path}/none")
