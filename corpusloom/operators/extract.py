@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import uuid
 from collections.abc import Iterator
+from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import page, url
 from corpusloom.functions.html import Node, parse
+from corpusloom.storage import shared_dir
 
 RESULT = "meta_title string, real_title string, main_content string, content_chars int, link_chars int, link_rate double, page_chars int, page_link_rate double, container_tag string, no_article boolean"
 _EMPTY = {"meta_title": "", "real_title": "", "main_content": "", "content_chars": 0, "link_chars": 0, "link_rate": 0.0, "page_chars": 0, "page_link_rate": 0.0, "container_tag": "", "no_article": True}
@@ -97,16 +102,31 @@ def dom_nodes(pages: DataFrame) -> DataFrame:
 
 
 def containers(nodes: DataFrame) -> DataFrame:
-    """The container of each page from its ``dom_nodes``, by joins: the best block, then up while the sum holds."""
-    best = nodes.filter("own > 0").groupBy("page_id").agg(F.max_by("node", F.struct("total", -F.col("post"))).alias("node"), F.max_by("total", F.struct("total", -F.col("post"))).alias("base"))
+    """The container of each page from its ``dom_nodes``, by joins: the best block, then up while the sum holds.
+
+    A step up is a link from a node to its parent. The links double their reach in each round, over
+    written tables, until no page has a link left to follow; pages and depths are without a limit.
+    """
+    spark = nodes.sparkSession
+    path = f"{shared_dir(spark)}/containers-{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, urlparse(path).path, ignore_errors=True)
+
+    def written(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
     rate = F.when(F.col("chars") > 0, F.col("links") / F.col("chars")).otherwise(0.0)
-    view = nodes.select("page_id", "node", "parent", "tag", "total", rate.alias("rate"))
-    view.createOrReplaceTempView("loom_nodes")
-    best.createOrReplaceTempView("loom_best")
-    return nodes.sparkSession.sql("""
-        WITH RECURSIVE up MAX RECURSION LEVEL 512 AS (
-          SELECT n.page_id, n.node, n.parent, n.tag, n.rate, b.base, 0 AS step FROM loom_best b JOIN loom_nodes n ON n.page_id = b.page_id AND n.node = b.node
-          UNION ALL
-          SELECT p.page_id, p.node, p.parent, p.tag, p.rate, u.base, u.step + 1 FROM up u JOIN loom_nodes p ON p.page_id = u.page_id AND p.node = u.parent
-          WHERE p.tag NOT IN ('html', 'body') AND p.total >= 0.75 * u.base AND p.rate <= u.rate + 0.10
-        ) SELECT page_id, max_by(node, step) AS node, max_by(tag, step) AS container_tag FROM up GROUP BY page_id""")
+    view = written("nodes", nodes.select("page_id", "node", "parent", "tag", "own", "total", "post", rate.alias("rate")))
+    best = view.filter("own > 0").groupBy("page_id").agg(F.max_by("node", F.struct("total", -F.col("post"))).alias("node"), F.max_by("total", F.struct("total", -F.col("post"))).alias("base"))
+    best = written("best", best)
+    above = view.join(best.select("page_id", "base"), "page_id").filter("tag NOT IN ('html', 'body') AND total >= 0.75 * base").select("page_id", F.col("node").alias("parent"), F.col("rate").alias("above"))
+    links = view.join(above, ["page_id", "parent"]).filter("above <= rate + 0.10")
+    links = written("links-0", links.select("page_id", "node", F.col("parent").alias("to")).distinct())
+    at = best.select("page_id", "node")
+    k = 0
+    while not at.join(links, ["page_id", "node"], "left_semi").isEmpty():
+        k += 1
+        at = written(f"at-{k}", at.join(links, ["page_id", "node"], "left").select("page_id", F.coalesce("to", "node").alias("node")))
+        further = links.select("page_id", F.col("node").alias("to"), F.col("to").alias("beyond"))
+        links = written(f"links-{k}", links.join(further, ["page_id", "to"], "left").select("page_id", "node", F.coalesce("beyond", "to").alias("to")))
+    return at.join(view, ["page_id", "node"]).groupBy("page_id").agg(F.first("node").alias("node"), F.first("tag").alias("container_tag"))

@@ -178,3 +178,11 @@ def test_entry_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_containers_climb_as_deep_as_the_page(spark):
+    schema = "page_id bigint, node int, parent int, tag string, post int, chars int, links int, own double, total double"
+    deep = [(1, k, k - 1 if k else None, "html" if k == 0 else "div", 2000 - k, 100, 0, 0.0 if k < 1500 else 9.0, 9.0) for k in range(1501)]
+    flat = [(2, 0, None, "body", 3, 100, 0, 0.0, 20.0), (2, 1, 0, "section", 2, 100, 50, 9.0, 9.0), (2, 2, 1, "p", 1, 100, 0, 9.0, 10.0)]
+    nodes = spark.createDataFrame([*deep, *flat], schema)
+    assert sorted(tuple(r) for r in extract.containers(nodes).collect()) == [(1, 1, "div"), (2, 2, "p")]
