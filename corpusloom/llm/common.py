@@ -18,14 +18,17 @@ ASCII_SPACE = r"[\x20\x09-\x0D]+"
 HEAVY_KEYS = 512
 #: Key lists up to this many fixed-width rows are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: The setting by which a query's shuffle files are removed when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
     """A folder of tables under the shared folder, for cutting lineage.
 
     Tables are plain Parquet written by Spark's commit protocol, so a lost
-    executor costs a task retry and nothing that was written is lost. What
-    isn't dropped by name goes when the driver's Python ends.
+    executor costs a task retry and nothing that was written is lost. Shuffle
+    files go as soon as the table that they made is written. What isn't dropped
+    by name goes when the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -34,7 +37,13 @@ class Scratch:
         atexit.register(self._at_exit)
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        conf = self.spark.conf
+        before = conf.get(_CLEANUP, None)
+        conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        finally:
+            conf.set(_CLEANUP, before) if before is not None else conf.unset(_CLEANUP)
         return self.read(name)
 
     def read(self, name: str) -> DataFrame:

@@ -4,22 +4,25 @@ A window is ``WINDOW`` consecutive words of a document. Every word that lies in
 whose words also stand in a document with a smaller id is removed; windows are judged on
 the input. The steps:
 
-1. Anchors. Every window names the smallest hash among its runs of ``ANCHOR`` words. Equal windows
-   name equal anchors, and neighbours mostly share theirs, so a document has a fifth as many anchors
-   as words. Only anchors of two documents at least can belong to recurring windows.
-2. Pieces. A stretch of neighbouring windows with one such anchor is a piece: its words and place.
-3. Confirmation. The windows of pieces are counted by hash; one that occurs in two documents is a
+1. Copies. Of rows with the same words, those of the smallest id stand for all; every word of the
+   others is removed (if there is a window), and only the first go on.
+2. Anchors. Every window names the smallest hash among its runs of ``ANCHOR`` words. Equal windows
+   name equal anchors, and neighbours mostly share theirs, so a document has a quarter as many anchors
+   as words. Only anchors that occur twice can belong to recurring windows.
+3. Pieces. A stretch of neighbouring windows with one such anchor is a piece: its words and place.
+4. Confirmation. The windows of pieces are counted by hash; one that occurs in two documents is a
    recurring phrase, and the smallest of them is its owner, which lends it its words.
-4. Automata. Phrases are sharded by anchor, each shard's phrases are compiled into an Aho-Corasick automaton
+5. Automata. Phrases are sharded by anchor, each shard's phrases are compiled into an Aho-Corasick automaton
    over words, and all pieces are streamed through the automaton of their shard, which
    locates every occurrence by its actual words.
-5. The located stretches are cut from the texts.
+6. The located stretches are cut from the texts.
 
 A shard with many pieces is spread over several tasks, each with its own copy of the shard's
 phrases; a shard with many phrases is split into parts, and its pieces go through all of them. So
 neither a popular passage nor a popular anchor gathers in one task. Counting combines before each shuffle.
 
-Defined results: null texts and texts without a word have no words; texts shorter than a window lose nothing.
+Defined results: null texts and texts without a word have no words; texts shorter than a window lose nothing;
+very long texts and words are worked through whole.
 A null id neither lends phrases nor loses words. Rows with one id never take words from one another;
 each gets its row. Empty tables give empty results. Extra columns are ignored, or kept by
 ``remove_repeats``, which joins what is left with single spaces and leaves untouched texts as they are.
@@ -34,60 +37,49 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import BROADCAST_ROWS, Scratch, heavy_safe_join
+from corpusloom.llm.common import BROADCAST_ROWS, Scratch, filter_by_keys, heavy_safe_join
+from corpusloom.llm.words import Words, mix, runs, slices
 
-WINDOW, ANCHOR = 13, 5
+WINDOW, ANCHOR = 13, 7
 #: Phrases in one automaton, and pieces of a shard in one task.
 SHARD_PHRASES, SHARD_PIECES = 10_000, 200_000
 
-_rng = np.random.default_rng(20240707)
-_MUL = _rng.integers(0, 1 << 63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
 
 def split_words(text: str | None) -> list[bytes]:
     r"""Words parted by ``[\x20\x09-\x0D]``, unchanged."""
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
-def _runs(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of n words."""
-    size = len(h) - n + 1
-    total = np.zeros(max(size, 0), np.uint64)
-    for j in range(n if size > 0 else 0):
-        total += h[j : j + size] * _MUL[j]
-    total = (total ^ (total >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return total ^ (total >> np.uint64(29))
-
-
-def window_anchors(words: list[bytes]) -> np.ndarray:
-    """The anchor of every window of a text."""
-    size = len(words) - WINDOW + 1
-    if size <= 0:
-        return np.empty(0, np.int64)
-    grams = _runs(_hashes(words), ANCHOR)
+def _anchors(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window: the word it begins at, its row and its anchor."""
+    at = w.windows(WINDOW)
+    grams = runs(w.hashes, ANCHOR)
+    size = max(0, len(w.hashes) - WINDOW + 1)
     low = grams[:size].copy()
     for j in range(1, WINDOW - ANCHOR + 1):
         np.minimum(low, grams[j : j + size], out=low)
-    return low.view(np.int64)
+    return at, w.row()[at], low[at].view(np.int64)
 
 
-def _stretches(flags: np.ndarray, kind: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """(first, last + 1) of stretches of true flags, broken where ``kind`` changes."""
-    if not len(flags):
-        return []
-    breaks = flags[1:] != flags[:-1]
+def _stretches(row: np.ndarray, at: np.ndarray, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each stretch of neighbouring windows of a row, broken where ``kind`` changes."""
+    if not len(at):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    breaks = (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])
     if kind is not None:
-        breaks = breaks | (kind[1:] != kind[:-1])
-    cuts = [0, *(np.flatnonzero(breaks) + 1).tolist(), len(flags)]
-    return [(a, b) for a, b in zip(cuts, cuts[1:]) if flags[a]]
+        breaks |= kind[1:] != kind[:-1]
+    cuts = np.flatnonzero(breaks)
+    return np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(at) - 1]))
+
+
+def _listed(lists: pa.Array, row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Whether each value is in its row's list (by a hash of both, so a rare chance hit is possible)."""
+    of = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+    pair = lambda i, x: mix(x.view(np.uint64)) + i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return np.isin(pair(row, value), pair(of, lists.flatten().to_numpy()))
 
 
 def _digest(words: list[bytes]) -> str:
@@ -95,66 +87,62 @@ def _digest(words: list[bytes]) -> str:
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_words, sha and the distinct anchors of each row of doc_id, text_key, text."""
+    """doc_id, text_key, n_words, sha and the anchors of each row of doc_id, text_key, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, sha, anchors = [], [], []
-            for t in b.column(2).to_pylist():
-                words = split_words(t)
-                n.append(len(words))
-                sha.append(_digest(words))
-                anchors.append(np.unique(window_anchors(words)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(anchors, pa.list_(pa.int64()))], names=names)
+            for at, w in slices(b.column(2)):
+                part = b.slice(at, len(w.first) - 1)
+                sha = [hashlib.sha256(w.joined(a, z)).hexdigest() for a, z in zip(w.first.tolist(), w.first[1:].tolist())]
+                start, row, anchor = _anchors(w)
+                begins, _ = _stretches(row, start, anchor)
+                places = np.concatenate(([0], np.cumsum(np.bincount(row[begins], minlength=part.num_rows)))).astype(np.int32)
+                anchors = pa.ListArray.from_arrays(pa.array(places), pa.array(anchor[begins]))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(w.first).astype(np.int64)), pa.array(sha, pa.string()), anchors], names=names)
 
     names = ["doc_id", "text_key", "n_words", "sha", "anchors"]
     return docs.mapInArrow(run, "doc_id bigint, text_key bigint, n_words bigint, sha string, anchors array<bigint>")
 
 
+def _copies(base: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id and text_key of the rows whose words, a window at least, are those of a row with a smaller id."""
+    rows = base.filter(f"doc_id IS NOT NULL AND n_words >= {WINDOW}").select("doc_id", "text_key", "sha")
+    groups = rows.groupBy("sha").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
+    groups = scratch.write("groups", groups.select("sha", "low", "n"))
+    return scratch.write("copies", heavy_safe_join(rows, groups, "sha", "n", rows.count()).filter("doc_id > low").select("doc_id", "text_key").distinct())
+
+
 def _pieces(docs: DataFrame) -> DataFrame:
     """The pieces of rows of doc_id, text_key, text and anchors (those that recur)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, rest = [], []
-            for i, (t, known) in enumerate(zip(b.column(2).to_pylist(), b.column(3))):
-                words = split_words(t)
-                low = window_anchors(words)
-                for a, z in _stretches(np.isin(low, known.values.to_numpy()), low):
-                    at.append(i)
-                    rest.append((int(low[a]), a, b" ".join(words[a : z + WINDOW - 1])))
-            anchor, start, text = zip(*rest) if rest else ((), (), ())
-            where = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(where), b.column(1).take(where), pa.array(anchor, pa.int64()), pa.array(start, pa.int32()), pa.array(text, pa.binary())],
-                names=["doc_id", "text_key", "anchor", "start", "words"],
-            )
+            for lead, w in slices(b.column(2)):
+                part = b.slice(lead, len(w.first) - 1)
+                at, row, anchor = _anchors(w)
+                own = _listed(part.column(3), row, anchor)
+                at, row, anchor = at[own], row[own], anchor[own]
+                a, z = _stretches(row, at, anchor)
+                text = [w.joined(i, j) for i, j in zip(at[a].tolist(), (at[z] + WINDOW).tolist())]
+                where, start = pa.array(row[a]), (at[a] - w.first[row[a]]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(where), part.column(1).take(where), pa.array(anchor[a]), pa.array(start), pa.array(text, pa.binary())],
+                    names=["doc_id", "text_key", "anchor", "start", "words"],
+                )
 
     return docs.mapInArrow(run, "doc_id bigint, text_key bigint, anchor bigint, start int, words binary")
 
 
-def _runs_of_pieces(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """All words of pieces, and for each window of theirs: its piece, its first word's place among all, its hash.
-
-    Hashed together, since a piece alone is too short to be worth an array operation.
-    """
-    words = b" ".join(texts).split()
-    sizes = np.fromiter((t.count(b" ") + 1 for t in texts), np.int64, len(texts))
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    at = np.flatnonzero(np.arange(len(words)) + WINDOW <= ends)
-    return words, np.repeat(np.arange(len(texts)), sizes)[at], at, _runs(_hashes(words), WINDOW)[at].view(np.int64)
-
-
 def _windows(pieces: DataFrame) -> DataFrame:
     """anchor, doc_id and window (its hash) of each window of the pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for low in range(0, b.num_rows, 4000):
-                part = b.slice(low, 4000)
-                _, piece, _, window = _runs_of_pieces(part.column(2).to_pylist())
-                where = pa.array(piece, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array(window, pa.int64())], names=["anchor", "doc_id", "window"])
+            for lead, w in slices(b.column(2)):
+                part, at = b.slice(lead, len(w.first) - 1), w.windows(WINDOW)
+                where = pa.array(w.row()[at])
+                window = runs(w.hashes, WINDOW)[at].view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array(window)], names=["anchor", "doc_id", "window"])
 
     return pieces.select("anchor", "doc_id", "words").mapInArrow(run, "anchor bigint, doc_id bigint, window bigint")
 
@@ -164,17 +152,15 @@ def _phrases(lent: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for low in range(0, b.num_rows, 4000):
-                part = b.slice(low, 4000)
-                words, piece, at, window = _runs_of_pieces(part.column(2).to_pylist())
-                lists = part.column(3)
-                of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()).astype(np.uint64)
-                pair = lambda w, k: w.view(np.uint64) * _MUL[0] + k * _MUL[1]
-                own = np.isin(pair(window, piece.astype(np.uint64)), pair(lists.flatten().to_numpy(), of))
-                found = _stretches(own, piece)
-                where = pa.array(piece[[a for a, _ in found]].astype(np.int64), pa.int64())
-                texts = [b" ".join(words[at[a] : at[z - 1] + WINDOW]) for a, z in found]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array(texts, pa.binary()), pa.array([z - a for a, z in found], pa.int32())], names=["anchor", "owner", "words", "n"])
+            for lead, w in slices(b.column(2)):
+                part, at = b.slice(lead, len(w.first) - 1), w.windows(WINDOW)
+                row = w.row()[at]
+                own = _listed(part.column(3), row, runs(w.hashes, WINDOW)[at].view(np.int64))
+                at, row = at[own], row[own]
+                a, z = _stretches(row, at)
+                where = pa.array(row[a])
+                text = [w.joined(i, j) for i, j in zip(at[a].tolist(), (at[z] + WINDOW).tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array(text, pa.binary()), pa.array((z - a + 1).astype(np.int32))], names=["anchor", "owner", "words", "n"])
 
     return lent.select("anchor", "doc_id", "words", "wanted").mapInArrow(run, "anchor bigint, owner bigint, words binary, n int")
 
@@ -269,11 +255,11 @@ def _with_text(docs: DataFrame, keyed: DataFrame) -> DataFrame:
     return docs.join(keyed.hint("merge"), ["doc_id", "text_key"])
 
 
-def _ranges(given: DataFrame, base: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, text_key and ranges (covered stretches) of the rows that lose words."""
-    anchors = base.filter("doc_id IS NOT NULL").select("doc_id", "text_key", F.explode("anchors").alias("anchor"))
-    counted = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
-    recurring = scratch.write("recurring", counted.filter("low < high").select("anchor", "n"))
+def _ranges(given: DataFrame, base: DataFrame, copies: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, text_key and ranges (covered stretches) of the rows, but for copies, that lose words."""
+    first = filter_by_keys(base.filter("doc_id IS NOT NULL"), copies, ["doc_id", "text_key"], "left_anti")
+    anchors = first.select("doc_id", "text_key", F.explode("anchors").alias("anchor"))
+    recurring = scratch.write("recurring", anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     total = recurring.agg(F.sum("n")).first()[0] or 0
     lists = heavy_safe_join(anchors, recurring, "anchor", "n", total).groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("anchors"))
     lists = scratch.write("lists", lists)
@@ -313,7 +299,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     given = _given(docs, id_col, text_col)
     base = scratch.write("base", _base(given))
-    ranges = _ranges(given, base, scratch)
+    copies = _copies(base, scratch)
+    ranges = _ranges(given, base, copies, scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -328,18 +315,26 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     cut = _with_text(given, ranges).select("doc_id", "text", "ranges")
     cut = cut.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, ranges array<struct<first:int,last:int>>")
-    keys = ranges.select("doc_id", "text_key")
-    rest = base.select("doc_id", "text_key", "n_words", "sha")
-    rest = rest.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, ["doc_id", "text_key"], "left_anti")
+    facts, keys = base.select("doc_id", "text_key", "n_words", "sha"), ["doc_id", "text_key"]
+    whole = filter_by_keys(facts, copies, keys, "left_semi").select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(_digest([])).alias("kept_sha256"), _all_words().alias("ranges"))
+    rest = filter_by_keys(facts, copies.union(ranges.select(*keys)), keys, "left_anti")
     rest = rest.select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast(cut.schema["ranges"].dataType).alias("ranges"))
-    return cut.unionByName(rest)
+    return cut.unionByName(whole).unionByName(rest)
+
+
+def _all_words() -> Column:
+    return F.array(F.struct(F.lit(0).alias("first"), F.col("n_words").cast("int").alias("last")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated passages cut from the texts, with all columns."""
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     given = _given(docs, id_col, text_col)
-    ranges = _ranges(given, scratch.write("base", _base(given)), scratch)
+    base = scratch.write("base", _base(given))
+    copies = _copies(base, scratch)
+    facts = base.select("doc_id", "text_key", "n_words").distinct()
+    whole = filter_by_keys(facts, copies, ["doc_id", "text_key"], "left_semi").select("doc_id", "text_key", _all_words().alias("ranges"))
+    ranges = _ranges(given, base, copies, scratch).unionByName(whole)
     num, key, cut = (f"__{x}_{uuid.uuid4().hex[:8]}" for x in ("id", "key", "cut"))
     keyed = docs.withColumns({num: F.col(id_col).cast("bigint"), key: F.xxhash64(text_col)})
     joined = keyed.join(ranges.toDF(num, key, cut), [num, key], "left")
