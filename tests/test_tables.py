@@ -186,3 +186,29 @@ def test_containers_climb_as_deep_as_the_page(spark):
     flat = [(2, 0, None, "body", 3, 100, 0, 0.0, 20.0), (2, 1, 0, "section", 2, 100, 50, 9.0, 9.0), (2, 2, 1, "p", 1, 100, 0, 9.0, 10.0)]
     nodes = spark.createDataFrame([*deep, *flat], schema)
     assert sorted(tuple(r) for r in extract.containers(nodes).collect()) == [(1, 1, "div"), (2, 2, "p")]
+
+
+@pytest.mark.parametrize("parts", [4, 200])
+def test_samples_of_many_wide_rows(spark, parts):
+    """Ranges that are drawn twice would differ; also a hot host, equal rows and nulls."""
+    n = 120_000
+    rows = spark.range(n).select((F.col("id") * 7919 % n).alias("i"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("h"), (F.col("id") % 40).cast("string"))).alias("h"), F.repeat(F.md5(F.col("id").cast("string")), 20).alias("wide"))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        assert sorted(r["i"] for r in sample.every_nth(rows, ["i"], 997).select("i").collect()) == [k * n // 997 for k in range(997)]
+        numbers = sample.numbered(rows.select("i"), ["i"], "p")
+        assert numbers.filter("i <> p").count() == 0 and numbers.count() == n
+        by = {}
+        for r in rows.select("i", "h").collect():
+            by.setdefault(r["h"], []).append(r["i"])
+        picked = []
+        for h in sorted(by):
+            own = sorted(by[h])
+            picked += [own[round(k * (len(own) - 1) / 49)] for k in range(50)]
+        want = [picked[round(k * (len(picked) - 1) / 499)] for k in range(500)]
+        assert sorted(r["i"] for r in sample.stratified(rows, "h", ["i"], 50, 500).select("i").collect()) == sorted(want)
+        alike = spark.createDataFrame([(1, None)] * 5 + [(None, "x")] * 3, "i int, h string")
+        assert sample.every_nth(alike, ["i"], 4).count() == 4 and sample.stratified(alike, "h", ["i"], 2).count() == 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
