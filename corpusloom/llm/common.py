@@ -2,111 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import uuid
-from urllib.parse import unquote, urlparse
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from corpusloom.joins import BROADCAST_ROWS, HEAVY_KEYS, filter_by_keys, heavy_safe_join, same
+from corpusloom.storage import Scratch
 
-from corpusloom.storage import shared_dir
+__all__ = ["ASCII_SPACE", "BROADCAST_ROWS", "HEAVY_KEYS", "Scratch", "filter_by_keys", "heavy_safe_join", "read_table", "same"]
 
 #: The six bytes ``[\x20\x09-\x0D]`` that count as white space in the contracts.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
-#: A key is heavy when it holds more than one row in HEAVY_KEYS; so there are fewer than HEAVY_KEYS of them.
-HEAVY_KEYS = 512
-#: Key lists up to this many fixed-width rows are broadcast; longer ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
-#: The setting by which a query's shuffle files are removed when it has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-class Scratch:
-    """A folder of tables under the shared folder, for cutting lineage.
-
-    Tables are plain Parquet written by Spark's commit protocol, so a lost
-    executor costs a task retry and nothing that was written is lost. Shuffle
-    files go as soon as the table that they made is written. What isn't dropped
-    by name goes when the driver's Python ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._at_exit)
-
-    def write(self, name: str, df: DataFrame) -> DataFrame:
-        conf = self.spark.conf
-        before = conf.get(_CLEANUP, None)
-        conf.set(_CLEANUP, "true")
-        try:
-            df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        finally:
-            conf.set(_CLEANUP, before) if before is not None else conf.unset(_CLEANUP)
-        return self.read(name)
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            self._delete(f"{self.path}/{name}")
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-    def _at_exit(self) -> None:
-        parts = urlparse(self.path)
-        if parts.scheme in ("", "file"):
-            shutil.rmtree(unquote(parts.path), ignore_errors=True)
-        else:
-            try:
-                self._delete(self.path)
-            except Exception:  # noqa: BLE001 - the session may have ended before
-                pass
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def heavy_safe_join(facts: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """Inner join of ``facts`` with one row per ``key`` in ``groups``, whatever the skew.
-
-    ``size`` counts the facts of each group. Groups with more than one row in
-    HEAVY_KEYS of ``total`` number fewer than HEAVY_KEYS, whatever the data, so
-    they are broadcast; the remaining groups are small and go by shuffle.
-    ``groups`` must be of fixed-width columns, and cheap to read twice.
-    """
-    bar = F.lit(total) / F.lit(float(HEAVY_KEYS))
-    heavy = groups.filter((F.col(size) > bar) & (F.col(size) > 10_000))
-    light = groups.filter(~((F.col(size) > bar) & (F.col(size) > 10_000)))
-    if heavy.isEmpty():
-        return facts.join(groups, key)
-    hot = facts.join(F.broadcast(heavy), key)
-    cold = facts.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
-    return hot.unionByName(cold)
-
-
-def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality of all keys."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
-def filter_by_keys(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
-    """``left_semi`` or ``left_anti`` by distinct fixed-width ``keys``, null-safe.
-
-    The list is counted first. A short one is broadcast, which spares a shuffle
-    of wide rows; a long one is joined by sort and merge.
-    """
-    n = keys.count()
-    if n == 0:
-        return rows if how == "left_anti" else rows.limit(0)
-    hinted = F.broadcast(keys) if n <= BROADCAST_ROWS else keys.hint("merge")
-    return rows.join(hinted, same(rows, keys, on), how)
