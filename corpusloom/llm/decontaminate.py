@@ -15,7 +15,8 @@ the texts for each. The texts are never shuffled.
 
 Defined results: null and empty texts hold nothing; items that are null or without a letter
 or digit are in no text. Items shorter than ``MIN_CHARS`` whose budget is 0 have to stand at word
-boundaries; in scripts without blanks every place is one. Items with the
+boundaries; in scripts without blanks every place is one. Item ids may be of any type. Very long texts are
+searched whole; of equally near passages of an item the first counts. Items with the
 same comparable text are searched once and reported for each item. Repeated rows each
 get their rows. Extra columns are ignored, or kept by ``drop_contaminated``. Empty tables
 give empty results.
@@ -30,6 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Edits allowed for each character of an item.
 EDIT_SHARE = 0.05
@@ -184,7 +186,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDI
                 items, *numbers = zip(*rest) if rest else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(items, item_type), *(pa.array(x, pa.int32()) for x in numbers)], names=["doc_id", "item_id", "distance", "allowed", "end"])
 
-        item_type = pa.int64() if benchmark.schema[item_col].dataType.simpleString() == "bigint" else None
+        item_type = to_arrow_type(benchmark.schema[item_col].dataType)
         parts.append(given.mapInArrow(run, types))
     out = parts[0]
     for p in parts[1:]:

@@ -12,12 +12,13 @@ A text's score is its best margin, 0 to 1. There is no intercept, so a text that
 with the landmarks, or is as far from each language as from the rest, scores about 0; so does
 one of whose n-grams less than ``MIN_KNOWN`` are in any landmark.
 
-The sample is at most ``SAMPLE_PER_LANG`` whole texts for each language, the same
-whatever the layout of the table, plus as many short word windows of them, so that
+The sample is at most ``SAMPLE_PER_LANG`` whole texts of up to ``MAX_FIT_CHARS`` characters for each of at
+most ``MAX_LANGS`` languages, the same whatever the layout of the table, plus as many short word windows of them, so that
 short texts are known too. Only the fit is bounded: every whole text is scored,
 in Arrow batches, without a shuffle.
 
-Defined results: texts that are null or without a letter are ``und`` with score 0;
+Defined results: texts that are null or without a letter (marks, digits and signs are none) are ``und`` with score 0;
+very long texts are scored whole; of languages with equal margins, the first by name is predicted;
 so is every text if there is nothing to learn from. Rows with a null id count as
 training rows if labelled; their id hashes as the empty string. Repeated rows each
 get their row. Extra columns are ignored.
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,8 @@ MAX_N = 3
 #: Labelled texts for each language that the fit sees, and how many of them are landmarks.
 SAMPLE_PER_LANG = 240
 LANDMARKS_PER_LANG = 40
+#: Languages that the fit learns, those of most labelled texts, and characters of the longest text that it takes into its sample.
+MAX_LANGS, MAX_FIT_CHARS = 400, 200_000
 RIDGE = 1e-3
 #: A text of which a smaller share of n-grams is known scores 0: with few languages, its margin would only say what it's less unlike.
 MIN_KNOWN = 0.5
@@ -55,18 +59,21 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def _letters() -> np.ndarray:
+    """1 for letters, 2 for marks, which count as part of a word but are no letters by themselves."""
     global _LETTER
     if _LETTER is None:
-        _LETTER = np.fromiter((unicodedata.category(chr(c))[0] == "L" or unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)), bool, 0x110000)
+        kinds = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+        _LETTER = np.fromiter(((k == "L") + 2 * (k == "M") for k in kinds), np.int8, 0x110000)
     return _LETTER
 
 
 def ngrams(text: str | None) -> np.ndarray:
     """The distinct n-grams of a text as sorted numbers; empty without a letter."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
-    is_letter = _letters()[codes]
-    if not is_letter.any():
+    kind = _letters()[codes]
+    if not (kind == 1).any():
         return np.empty(0, np.int64)
+    is_letter = kind > 0
     codes = np.where(is_letter, codes, 32).astype(np.int64)
     keep = np.ones(len(codes), bool)
     keep[1:] = is_letter[1:] | is_letter[:-1]
@@ -157,7 +164,9 @@ def _window(text: str) -> str:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> KernelClassifier:
     """Learn from the labelled rows that aren't held out."""
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = given.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = given.filter(~held_out() & F.col("lang").isNotNull() & (F.length("text") <= MAX_FIT_CHARS))
+    langs = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    rows = rows.join(F.broadcast(langs.select("lang")), "lang", "left_semi")  # MAX_LANGS rows at most
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= SAMPLE_PER_LANG).select("doc_id", "lang").distinct()
     # repeated ids may bring more rows than the bound; one text each is enough
@@ -174,8 +183,9 @@ def predict(docs: DataFrame, model: KernelClassifier | None = None, id_col: str
 
 def confident(docs: DataFrame, min_score: float, model: KernelClassifier | None = None, text_col: str = "text") -> DataFrame:
     """The rows whose language is determined with ``min_score`` at least, with all their columns."""
-    scored = _scored(docs, model or fit(docs), docs.columns, text_col, lang_as="__lang_pred", score_as="__lang_score")
-    return scored.filter((F.col("__lang_pred") != UNDETERMINED) & (F.col("__lang_score") >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    lang, score = f"__lang_{uuid.uuid4().hex[:8]}", f"__score_{uuid.uuid4().hex[:8]}"
+    scored = _scored(docs, model or fit(docs), docs.columns, text_col, lang_as=lang, score_as=score)
+    return scored.filter((F.col(lang) != UNDETERMINED) & (F.col(score) >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _scored(given: DataFrame, model: KernelClassifier, keep: list[str], text_col: str, lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:

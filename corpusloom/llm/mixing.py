@@ -15,7 +15,7 @@ Cells are counted by Spark over all documents, with partial sums before the shuf
 Raking works on cells, never documents. Up to ``MAX_CELLS`` cells it runs in the driver;
 a larger table is raked by the same steps as DataFrame aggregations.
 
-Defined results: nulls in source or language are a category of their own, as is the
+A document's token weight is its number of words. Defined results: very long texts are weighed whole; nulls in source or language are a category of their own, as is the
 topic of null texts; texts weigh one token at least, so that they can be drawn. Targets
 that name categories without documents are left out and the rest scaled; categories
 without a target share what the targets leave. Repeated rows are drawn alike. An empty
@@ -64,10 +64,9 @@ def topic_of(text: Column) -> Column:
 
 
 def token_weight(text: Column) -> Column:
-    """Blanks and line ends of a text and one more: its words, if they are parted singly."""
-    t = F.coalesce(text, F.lit(""))
-    bare = F.replace(F.replace(t, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
-    return (F.octet_length(t) - F.octet_length(bare) + 1).cast("bigint")
+    """Words of a text, parted by ASCII white space; one at least."""
+    words = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+    return F.greatest(words, F.lit(1)).cast("bigint")
 
 
 def targets(totals: dict, given: dict | None, temperature: float) -> dict:

@@ -9,11 +9,12 @@ as informative as on new texts. Isotonic regression on rows that the trees haven
 turns margins into probabilities; a small share of the plain probability keeps order within
 its steps.
 
-Only the fit is bounded: at most ``SAMPLE_PER_CLASS`` labelled texts for each label, chosen by a hash
+Only the fit is bounded: at most ``SAMPLE_PER_CLASS`` labelled texts of up to ``MAX_FIT_CHARS`` characters for each label, chosen by a hash
 of the id and weighted back to the labels' true shares. Every whole text is scored, in Arrow
 batches without a shuffle.
 
-Defined results: null and empty texts are scored from their empty features. Labels that are null, not
+Defined results: null and empty texts are scored from their empty features; very long ones whole. A document with several
+labels is toxic if one of them says so. Labels that are null, not
 0 or 1, or of no document are ignored; with less than two labels of both kinds every score is
 the share of toxic labels (0 without any). Repeated rows each get their row. Extra columns are ignored.
 """
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import filter_by_keys
 
 SAMPLE_PER_CLASS = 3000
+#: Characters of the longest text that the fit takes into its sample.
+MAX_FIT_CHARS = 200_000
 TREES, DEPTH, RATE, BINS, RIDGE = 120, 3, 0.1, 48, 5.0
 #: A lexicon word: this much likelier (natural log) in toxic texts, and in so many of them at least,
 #: and in such a share of them.
@@ -295,7 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     totals = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     part = lambda y: marked.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS)
     ids = part(0).unionByName(part(1))
-    given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.length("text") <= MAX_FIT_CHARS)
     texts = filter_by_keys(given, ids.select("doc_id"), ["doc_id"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     rows = sorted((str(r["doc_id"]), r["toxic"], r["text"]) for r in texts.join(F.broadcast(ids), "doc_id").collect())
     found = Counter(y for _, y, _ in rows)

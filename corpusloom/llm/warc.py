@@ -17,7 +17,8 @@ read in turn; candidates inside payloads are never reached.
 Defined results: a null payload is empty. A null id is written as ``null``, never
 referred to, and always a response. Rows that repeat the smallest id are all responses.
 Control characters and blanks in a URL are written as %20, a null URL as the record's own
-name. Empty files and tables give no records. A chain that breaks (a damaged or cut
+name. Payloads and headers of any length are read
+whole; a record without a type has a null one. Empty files and tables give no records. A chain that breaks (a damaged or cut
 file) ends there, and ``broken_chains`` names the file and offset. Extra columns are ignored.
 """
 
@@ -88,6 +89,7 @@ class _File:
 
     def __init__(self, path: str):
         uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+        uri = re.sub(r"^s3[an]://", "s3://", uri)
         fs, inner = pyarrow.fs.FileSystem.from_uri(uri)
         self.file = fs.open_input_file(inner)
 
@@ -212,13 +214,13 @@ def read_archives(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES
     def parsed(path: str, at: int, fields: dict[str, str], block: bytes) -> tuple:
         head, _, payload = block.partition(_END)
         stated = fields.get("warc-payload-digest", "").removeprefix("sha256:")
-        if fields["warc-type"] == "revisit":
+        if fields.get("warc-type") == "revisit":
             length = re.search(rb"(?i)content-length:[ \t]*([0-9]+)", head)
             digest, size, intact, payload = stated, int(length[1]) if length else None, True, None
         else:
             digest, size = hashlib.sha256(payload).hexdigest(), len(payload)
             intact = digest == stated
-        return path, at, page_number(fields.get("warc-record-id")), fields.get("warc-target-uri"), fields["warc-type"], page_number(fields.get("warc-refers-to")), size, digest, intact, payload if with_payload else None
+        return path, at, page_number(fields.get("warc-record-id")), fields.get("warc-target-uri"), fields.get("warc-type"), page_number(fields.get("warc-refers-to")), size, digest, intact, payload if with_payload else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
