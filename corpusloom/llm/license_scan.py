@@ -3,11 +3,12 @@
 A text is brought to a canonical form (copyright lines dropped, case folded,
 equivalent spellings made one, everything but letters and digits turned into
 single spaces), hashed, and looked up among the digests of known licences. The
-whole text has to be the licence. The catalogue is a fixed list of a few rows,
+whole text has to be the licence. The catalogue is a fixed list of a few rows, short
+licences by their texts and long ones by their digests,
 so it is broadcast; the texts are read once and nothing is shuffled.
 
 Defined results: null, empty and letterless texts have the digest of the empty
-form and match nothing. Repeated rows each get their row. Extra columns are
+form and match nothing; very long texts are hashed whole. Repeated rows each get their row. Extra columns are
 ignored.
 """
 
@@ -16,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.license_texts import LICENSES
+from corpusloom.llm.common import BROADCAST_ROWS
+from corpusloom.llm.license_texts import DIGESTS, LICENSES
 
 #: A line that says who holds the copyright, and a line that only reserves rights.
 COPYRIGHT_LINE = r"(^|\n)[ \t#*/;>-]*((copyright[ \t]*)?(\(c\)|©)|copyright[ \t]+[0-9<\[{])[^\n]*"
@@ -52,14 +54,17 @@ def canonical_sql(text: str) -> str:
 
 
 def catalogue(spark, texts: dict[str, str] | None = None) -> DataFrame:
-    """license_id and digest of each known licence text."""
-    rows = spark.createDataFrame(list((texts or LICENSES).items()), "license_id string, text string")
-    return rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"))
+    """license_id and digest of each known licence text; of given ``texts`` or the built-in list."""
+    rows = spark.createDataFrame(list((LICENSES if texts is None else texts).items()), "license_id string, text string")
+    known = rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"))
+    return known if texts is not None else known.unionByName(spark.createDataFrame(list(DIGESTS.items()), "license_id string, canonical_sha256 string"))
 
 
 def scan(docs: DataFrame, texts: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, canonical_sha256, license_id (null: none) and is_license of every row."""
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.sha2(canonical(F.col(text_col)), 256).alias("canonical_sha256"))
-    known = F.broadcast(catalogue(docs.sparkSession, texts))
-    out = keyed.join(known, "canonical_sha256", "left")
+    known = catalogue(docs.sparkSession, texts)
+    # a catalogue is a list in the driver; one of more than BROADCAST_ROWS rows of a name and a digest is left to the planner
+    few = texts is None or len(texts) <= BROADCAST_ROWS
+    out = keyed.join(F.broadcast(known) if few else known, "canonical_sha256", "left")
     return out.select("doc_id", "canonical_sha256", "license_id", F.col("license_id").isNotNull().alias("is_license"))
