@@ -4,13 +4,15 @@ For a byte-level BPE, the encoding of a piece of text is unique, and so is the
 last token of each of its prefixes: of the vocabulary's tokens that end there, it
 is the one that stays a pair with the last token of the prefix before it. So one
 pass over a piece gives the token count of each of its prefixes, from the counts
-of shorter ones. Pieces (the pre-tokenizer's words) repeat, and their count
-vectors are kept in a bounded cache. Counts of a text's prefixes are sums of
-those of its pieces, which answers truncation and budget questions without
-encoding anything again.
+of shorter ones. Stretches from one blank to the next repeat, and their count
+vectors are kept in a bounded cache. A text's vector is theirs in a row.
+
+``write_store`` keeps the count of every prefix of every text in a table, as the
+difference to the prefix before, a byte for a character (most are 0 or 1, and pack well). Whole
+counts, budget and truncation questions are answered from that table; nothing is encoded again.
 
 Texts are read once, in Arrow batches; nothing is shuffled. Defined results: a
-null text is empty and has no tokens; rows that repeat each get their row; extra
+null text is empty and has no tokens; very long texts are counted whole; rows that repeat each get their row; extra
 columns are ignored.
 """
 
@@ -20,13 +22,14 @@ import json
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces whose counts are kept by a worker before it starts over; about 150 bytes each.
-CACHE_PIECES = 400_000
+#: Pieces and stretches whose counts are kept by a worker before it starts over, and characters of the longest that is kept; so 100 MB at most.
+CACHE_PIECES, CACHED_CHARS = 400_000, 48
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -48,6 +51,8 @@ class PrefixCounter:
         letters = _byte_letters()
         as_bytes = lambda s: bytes(letters[c] for c in s)
         special = [t["content"] for t in spec["added_tokens"]]
+        if any(t.get(flag) for t in spec["added_tokens"] for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError(f"added tokens with conditions: {path}")
         # a token's number is its place in the order of merges, after the 256 bytes
         self.ids = {bytes([b]): b for b in range(256)}
         self.halves = [(b, b) for b in range(256)]
@@ -67,16 +72,22 @@ class PrefixCounter:
         self.findall = regex.compile(_PATTERN).findall
         self.leading = regex.compile(r"\s*").match
         self.run_then_space = regex.compile(r"\s ").search
+        self.at_blanks = regex.compile(r"(?<!\s) ").split
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.cache_pieces = cache_pieces
+        self.space = regex.compile(r"\s").search
+        #: Pieces that, cut short, are two.
+        self.whole = frozenset(("'re", "'ve", "'ll"))
         self.totals: dict[str, int] = {}
-        self.units: dict[str, int] = {}
+        self.pieces: dict[str, tuple[int, bytes]] = {}
+        self.units: dict[str, tuple[int, bytes]] = {}
         self.pairs: dict[int, bool] = {}
 
     def _keep(self, cache: dict, key, value):
-        if len(cache) >= self.cache_pieces:
-            cache.clear()
-        cache[key] = value
+        if not isinstance(key, str) or len(key) <= CACHED_CHARS:
+            if len(cache) >= self.cache_pieces:
+                cache.clear()
+            cache[key] = value
         return value
 
     def _stays(self, a: int, b: int) -> bool:
@@ -127,40 +138,52 @@ class PrefixCounter:
             at = m.end()
         yield text[at:], ""
 
-    def _sum(self, text: str) -> int:
-        return sum(map(self.piece_total, self.findall(text)))
+    def _piece(self, piece: str) -> tuple[int, bytes]:
+        """Tokens of a piece, and the differences of its prefixes' counts."""
+        counts = self._by_char(piece)
+        return self._keep(self.pieces, piece, (counts[-1], bytes([b - a & 255 for a, b in zip(counts, counts[1:])])))
+
+    def _unit(self, unit: str) -> tuple[int, bytes]:
+        """The same of a stretch: a blank, or none, and what follows up to the next."""
+        found = self.findall(unit)
+        if self.space(unit, 1) or not self.whole.isdisjoint(found):
+            counts = np.array(self._ordinary(unit))
+            made = int(counts[-1]), _differences(counts)
+        else:  # every prefix ends in a prefix of one piece, and the pieces before it stand
+            n, out, get = 0, [], self.pieces.get
+            for piece in found:
+                k, differences = get(piece) or self._piece(piece)
+                n += k
+                out.append(differences)
+            made = n, b"".join(out)
+        return self._keep(self.units, unit, made)
+
+    def vector(self, text: str | None) -> tuple[int, bytes]:
+        """Tokens of a text, and the count of each prefix less that of the prefix before, as signed bytes."""
+        n, out, get = 0, [], self.units.get
+        for part, special in self._segments(text or ""):
+            if special:
+                # inside the special string, a prefix ends in ordinary characters
+                whole = self._ordinary(part + special[:-1])
+                counts = np.array([*whole, whole[len(part)] + 1])
+                n += int(counts[-1])
+                out.append(_differences(counts))
+                continue
+            # a piece starts at every blank that follows no white space, so counts add up over these stretches
+            first, *rest = self.at_blanks(part) if self.run_then_space(part) else part.split(" ")
+            for unit in (first, *(" " + x for x in rest)):
+                k, differences = get(unit) or self._unit(unit)
+                n += k
+                out.append(differences)
+        return n, b"".join(out)
 
     def total(self, text: str | None) -> int:
         """Tokens of a text: the count at its last prefix."""
-        n = 0
-        for part, special in self._segments(text or ""):
-            n += bool(special)
-            if self.run_then_space(part):
-                n += self._sum(part)
-                continue
-            # a piece starts at every space that follows no white space, so counts add up over these stretches
-            first, *rest = part.split(" ")
-            n += self._sum(first)
-            get = self.units.get
-            for unit in rest:
-                k = get(unit)
-                n += self._keep(self.units, unit, self._sum(" " + unit)) if k is None else k
-        return n
+        return self.vector(text)[0]
 
     def prefixes(self, text: str | None) -> list[int]:
         """Token counts of text[:0], text[:1], ... text, each as that prefix alone encodes."""
-        out = [0]
-        for part, special in self._segments(text or ""):
-            if special:
-                # inside the special string, a prefix ends in ordinary characters
-                whole = self._ordinary(part + special[:-1])
-                base = out[-1]
-                out += [base + n for n in whole[1:]]
-                out.append(base + whole[len(part)] + 1)
-            else:
-                base = out[-1]
-                out += [base + n for n in self._ordinary(part)[1:]]
-        return out
+        return _counts(self.vector(text)[1]).tolist()
 
     def _ordinary(self, text: str) -> list[int]:
         """Prefix counts of a text without special strings.
@@ -178,7 +201,7 @@ class PrefixCounter:
             if lead:
                 run = self._by_char(text[run_at : at + lead])
                 out += [run_done + n for n in run[at - run_at + 1 :]]
-            if piece in ("'re", "'ve", "'ll"):  # cut short, these are a quote and a letter
+            if piece in self.whole:  # a quote and a letter
                 quote = done + self.piece_total("'")
                 out += [quote, quote + self.piece_total(piece[1]), done + self.piece_total(piece)]
             else:
@@ -188,17 +211,27 @@ class PrefixCounter:
         return out
 
     def _by_char(self, piece: str) -> list[int]:
-        counts = self.piece_prefixes(piece.encode())
+        raw = piece.encode()
+        counts = self.piece_prefixes(raw)
+        if len(raw) == len(piece):
+            return counts
         at, out = 0, [0]
         for c in piece:
             at += len(c.encode())
             out.append(counts[at])
         return out
 
-    def fit(self, text: str | None, budget: int) -> int:
-        """Length of the longest prefix that has at most ``budget`` tokens."""
-        counts = self.prefixes(text)
-        return max((i for i, n in enumerate(counts) if n <= budget), default=0)
+
+def _differences(counts: np.ndarray) -> bytes:
+    steps = np.diff(counts)
+    if len(steps) and np.abs(steps).max() > 127:
+        raise ValueError("counts of neighbouring prefixes differ by more than a byte holds")
+    return steps.astype(np.int8).tobytes()
+
+
+def _counts(differences: bytes) -> np.ndarray:
+    """Counts of all prefixes, from the empty one on."""
+    return np.concatenate(([0], np.cumsum(np.frombuffer(differences, np.int8), dtype=np.int64)))
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -239,14 +272,55 @@ def prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     return _map(docs, id_col, text_col, "counts array<int>", lambda texts: [pa.array([counter(path).prefixes(t) for t in texts], pa.list_(pa.int32()))])
 
 
-def truncate(docs: DataFrame, path: str, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text cut to the longest prefix of at most ``budget`` tokens, and that prefix's n_tokens."""
+def write_store(docs: DataFrame, path: str, where: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write doc_id, text_key, n_bytes, n_tokens and prefixes (a signed byte for each character) of every row to ``where``; the table."""
 
-    def row(texts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
-        all_counts = [c.prefixes(t) for t in texts]
-        ends = [max((i for i, n in enumerate(counts) if n <= budget), default=0) for counts in all_counts]
-        cut = pa.array([None if t is None else t[:e] for t, e in zip(texts, ends)], pa.string())
-        return cut, pa.array([counts[e] for counts, e in zip(all_counts, ends)], pa.int64())
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                n, steps, size = [], [], []
+                for t in part.column(2).to_pylist():
+                    total, differences = c.vector(t)
+                    n.append(total)
+                    steps.append(differences)
+                    size.append(len((t or "").encode()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(steps, pa.binary())], names=names)
+
+    given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    names = ["doc_id", "text_key", "n_bytes", "n_tokens", "prefixes"]
+    kind = given.schema["doc_id"].dataType.simpleString()
+    made = given.mapInArrow(run, f"doc_id {kind}, text_key bigint, n_bytes bigint, n_tokens bigint, prefixes binary")
+    made.write.mode("overwrite").option("compression", "zstd").parquet(where)
+    return docs.sparkSession.read.parquet(where)
 
-    return _map(docs, id_col, text_col, "text string, n_tokens bigint", row)
+
+def over_limit(store: DataFrame, limit: int = 512) -> DataFrame:
+    """doc_id, n_bytes, n_tokens (the count stored for the whole text) and over_limit (n_tokens > limit) of every row of a store."""
+    return store.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+def longest_prefixes(store: DataFrame, budget: int) -> DataFrame:
+    """doc_id, text_key, end (characters of the longest prefix of at most ``budget`` tokens) and its n_tokens, from the stored counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, n = [], []
+            for steps in b.column(2).to_pylist():
+                counts = _counts(steps)
+                end = int(np.flatnonzero(counts <= budget)[-1]) if budget >= 0 else 0
+                ends.append(end)
+                n.append(int(counts[end]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ends, pa.int32()), pa.array(n, pa.int64())], names=["doc_id", "text_key", "end", "n_tokens"])
+
+    kind = store.schema["doc_id"].dataType.simpleString()
+    return store.select("doc_id", "text_key", "prefixes").mapInArrow(run, f"doc_id {kind}, text_key bigint, end int, n_tokens bigint")
+
+
+def truncate(docs: DataFrame, store: DataFrame, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text cut to its longest prefix of at most ``budget`` tokens, and that prefix's n_tokens, of every row of ``docs`` that is in the store."""
+    ends = longest_prefixes(store, budget).dropDuplicates(["doc_id", "text_key"])
+    given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    both = given.join(ends, given["doc_id"].eqNullSafe(ends["doc_id"]) & (given["text_key"] == ends["text_key"]))
+    return both.select(given["doc_id"], F.substring(F.col("text"), F.lit(1), F.col("end")).alias("text"), "n_tokens")

@@ -71,7 +71,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return prefix_tokens.count(docs, public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT)
+    store = prefix_tokens.write_store(docs, public_tokenizers.path("byte_bpe_50k.json"), f"{Scratch(spark, 'op6').path}/prefixes")
+    return prefix_tokens.over_limit(store, TOKEN_LIMIT)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,8 +114,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op10_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in license_scan.LICENSES.items())
+    digests = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in license_scan.DIGESTS.items())
     return f"""
-WITH known AS (SELECT license_id, sha256({license_scan.canonical_sql("text")}) AS h FROM (VALUES {known}) AS v(license_id, text)),
+WITH known AS (SELECT license_id, sha256({license_scan.canonical_sql("text")}) AS h FROM (VALUES {known}) AS v(license_id, text) UNION ALL SELECT * FROM (VALUES {digests}) AS w(license_id, h)),
 d AS (SELECT doc_id, sha256({license_scan.canonical_sql("text")}) AS canonical_sha256 FROM documents)
 SELECT d.doc_id, d.canonical_sha256, known.license_id, known.license_id IS NOT NULL AS is_license
 FROM d LEFT JOIN known ON known.h = d.canonical_sha256
