@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, exact_dedup, lang_id, license_scan, mixing, near_dedup, prefix_tokens, substring_dedup, toxicity, warc
 
@@ -140,6 +141,16 @@ def test_near_keep_one_and_empty(docs, nothing):
     assert near_dedup.near_duplicates(nothing).count() == near_dedup.keep_one(nothing).count() == 0
 
 
+def test_near_keep_one_of_null_and_repeated_ids(spark):
+    rng = random.Random(13)
+    w = prose(rng, 100).split()
+    near = [" ".join([*w[:k], "changed", *w[k + 1 :]]) for k in range(3)]
+    other = [" ".join(reversed(t.split())) for t in near]
+    docs = spark.createDataFrame([*((None, t) for t in near), (5, other[0]), (5, other[1]), (7, other[2]), (8, "alone")], "doc_id bigint, text string")
+    kept = got(near_dedup.keep_one(docs))
+    assert len(kept) == 3 and sum(r[0] is None for r in kept) == 1 and sum(r[0] == 5 for r in kept) == 1 and (8, "alone") in kept
+
+
 def test_chain_of_links_without_common_leader(spark):
     """Each text links to its neighbours only; the whole chain is one component."""
     rng = random.Random(3)
@@ -165,6 +176,27 @@ def test_odd_sketch_estimates_high_similarity():
         assert flips <= near_dedup.most_flips()
 
 
+def test_a_bucket_of_many_unlinked_classes_goes_by_cells(spark):
+    """One bucket, thousands of classes of random sketches: only the planted pairs come out, each once."""
+    import numpy as np
+
+    from corpusloom.llm.common import Scratch
+
+    rng = np.random.default_rng(5)
+    n, words = 3000, near_dedup.SKETCH_BITS // 64
+    sketch = rng.integers(-(1 << 63), 1 << 63, (n, words), dtype=np.int64)
+    planted = {(int(a), int(b)) for a, b in rng.choice(n, (40, 2), replace=False)}
+    for a, b in planted:
+        sketch[b] = sketch[a]
+        sketch[b][0] ^= 0xFFFF
+    name = lambda i: i.to_bytes(16, "big")
+    rows = [(7, bytearray(name(i)), bytearray(name(i)), 500 if i % 2 else 450, sketch[i].tolist()) for i in range(n)]
+    same = [(8, bytearray(name(i)), bytearray(b"one component"), 500, sketch[0].tolist()) for i in range(20)]
+    open_ = spark.createDataFrame([*rows, *same], "band bigint, digest binary, label binary, n bigint, sketch array<bigint>")
+    out = near_dedup._within_buckets(open_, 80, Scratch(spark, "test-cells")).collect()
+    assert sorted((int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big")) for r in out) == sorted((min(p), max(p)) for p in planted)
+
+
 # --- decontamination
 
 
@@ -212,6 +244,18 @@ def test_decontamination(spark, rows, nothing):
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == docs.count()
 
 
+@pytest.mark.parametrize("kind", ["int", "smallint", "string", "double", "binary"])
+def test_items_with_ids_of_any_type(spark, kind):
+    rng = random.Random(8)
+    item = prose(rng, 20)
+    bench = spark.createDataFrame([("1", item), ("2", prose(rng, 20)), (None, item)], "item_id string, text string").select(F.col("item_id").cast(kind), "text")
+    docs = spark.createDataFrame([("x", f"{prose(rng, 5)} {item} {'long ' * 50_000}"), ("y", prose(rng, 30))], "doc_id string, text string")
+    out = decontaminate.find_passages(docs, bench)
+    assert out.schema["item_id"].dataType == bench.schema["item_id"].dataType
+    assert got(out.select("doc_id", F.col("item_id").cast("string"), "distance")) == [("x", "1", 0) if kind != "double" else ("x", "1.0", 0), ("x", None, 0)]
+    assert decontaminate.find_passages(docs, bench.limit(0)).count() == 0
+
+
 def test_short_items_are_searched_as_whole_words(spark):
     bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "日本の首都はどこですか。"), (3, "Who am I?"), (4, "?!"), (5, "Où est-il?")], "item_id bigint, text string")
     rows = [(1, "Q: what is the  Capital of France -- Paris"), (2, "问题:日本の首都はどこですか東京です"), (3, "who am i"), (4, "Who am in there, awho am i"), (5, "awho am i; who am I"), (6, "?!"), (7, "what is the capitol of france"), (8, "what is the capital city of france")]
@@ -270,6 +314,20 @@ def test_mixing_meets_targets_that_cells_cannot_give_at_the_wanted_share(spark):
     assert 0.3 < kept / sum(r["tokens"] for r in cells) <= 0.8 and any(r["rate"] > 0.999 for r in cells)
 
 
+def test_mixing_draws_by_the_rate_of_each_cell(spark):
+    """The draw held against each row's own hash and its cell's rate, with nulls, empty and long texts, and repeated rows."""
+    rng = random.Random(15)
+    rows = [(i, prose(rng, rng.randint(1, 30)), rng.choice(["s0", "s1", None]), rng.choice(["aa", "bb", None])) for i in range(1500)]
+    rows += [(2000, None, "s0", "aa"), (2001, "", "s1", "bb"), (2002, "w " * 50_000, "s1", "aa"), (None, "no id", "s0", "bb"), rows[3], rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    rate = {(r["source"], r["lang"], r["topic"]): r["rate"] for r in mixing.cell_rates(docs).collect()}
+    hashed = docs.select("doc_id", "text", "source", "lang", mixing.topic_of(F.col("text")).alias("topic"), F.xxhash64(F.lit(42), "doc_id", F.xxhash64("text")).alias("h")).collect()
+    want = [(r["doc_id"], r["text"], r["source"], r["lang"]) for r in hashed if (r["h"] & (1 << 53) - 1) / float(1 << 53) < rate[r["source"], r["lang"], r["topic"]]]
+    assert got(mixing.draw(docs)) == sorted(want, key=repr) and 100 < len(want) < 1500
+    weights = [r[0] for r in docs.filter("doc_id >= 2000").orderBy("doc_id").select(mixing.token_weight(F.col("text"))).collect()]
+    assert weights == [1, 1, 50_000]
+
+
 # --- toxicity
 
 
@@ -338,14 +396,20 @@ def test_prefix_counts_are_those_of_the_library(vocabulary):
     assert small.total(long) == count(long)
 
 
-def test_token_queries(docs, rows, nothing, vocabulary):
+def test_token_queries(docs, rows, nothing, vocabulary, tmp_path):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(vocabulary)
     count = lambda t: len(lib.encode(t or "", add_special_tokens=False).ids)
     assert got(prefix_tokens.count(docs, vocabulary)) == sorted(((i, len((t or "").encode()), count(t), count(t) > 512) for i, t, *_ in rows), key=repr)
-    cut = prefix_tokens.truncate(docs, vocabulary, 9).collect()
-    assert all(r["n_tokens"] <= 9 and count(r["text"]) == r["n_tokens"] for r in cut)
+    store = prefix_tokens.write_store(docs, vocabulary, f"file://{tmp_path}/prefixes")
+    assert got(prefix_tokens.over_limit(store)) == got(prefix_tokens.count(docs, vocabulary))
+    cut = prefix_tokens.truncate(docs, store, 9).collect()
+    assert len(cut) == len(rows) and all(r["n_tokens"] <= 9 and count(r["text"]) == r["n_tokens"] for r in cut)
+    longest = {r["doc_id"]: r["end"] for r in prefix_tokens.longest_prefixes(store, 9).filter("doc_id IS NOT NULL").collect()}
+    for i, t, *_ in rows[:12]:
+        assert longest[i] == max(k for k in range(len(t or "") + 1) if k < 200 and count((t or "")[:k]) <= 9)
+    assert prefix_tokens.write_store(nothing, vocabulary, f"file://{tmp_path}/none").count() == 0
     assert {r["doc_id"]: r["counts"][-1] for r in prefix_tokens.prefix_counts(docs, vocabulary).collect()}[9] == count("one")
     assert prefix_tokens.count(nothing, vocabulary).count() == 0
 
@@ -408,6 +472,10 @@ def test_language(spark, docs, nothing):
     odd = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in out if r["doc_id"] in (5000, 5001, 5002)}
     assert odd == dict.fromkeys((5000, 5001, 5002), ("und", 0.0))
     assert got(lang_id.predict(big.repartition(5))) == got(lang_id.predict(big, model))
+    marks = spark.createDataFrame([(1, "\u2764\ufe0f"), (2, "\u0301\u0302 \u0941"), (3, "\u0661\u0662"), (4, "\U0001f600 \u200d")], "doc_id bigint, text string")
+    assert {(r["lang_pred"], r["score"]) for r in lang_id.predict(marks, model).collect()} == {("und", 0.0)}
+    clash = big.withColumns({"__lang_pred": F.lit(1), "__lang_score": F.lit("x"), "lang_pred": F.lit(None).cast("string"), "score": F.lit(2)})
+    assert lang_id.confident(clash, 0.0, model).columns == clash.columns and lang_id.predict(clash, model).count() == big.count()
     kept = lang_id.confident(docs, 0.0, model)
     assert kept.columns == docs.columns and kept.count() == sum(any(c.isalpha() for c in r["text"] or "") for r in docs.collect())
     assert {r["lang_pred"] for r in lang_id.predict(docs, lang_id.KernelClassifier([], [])).collect()} == {"und"}
@@ -438,6 +506,23 @@ def test_license_scan(spark, docs, nothing):
     assert license_scan.scan(docs).count() == docs.count() and license_scan.scan(nothing).count() == 0
 
 
+def test_long_licenses_by_digest(spark):
+    """Whole public texts, as they stand, reflowed, and with other spellings and owners; a part or an addition is none."""
+    from pathlib import Path
+
+    where = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    found = {k: (where / v).read_text() for k, v in files.items() if (where / v).exists()}
+    if not found:
+        pytest.skip("no public licence texts on this machine")
+    rows, want = [], []
+    for i, (name, t) in enumerate(sorted(found.items())):
+        rows += [(10 * i, t), (10 * i + 1, t.upper().replace("\n", "\r\n\t")), (10 * i + 2, "Copyright (c) 2024 Some Body\n\n" + t.replace(" license ", " licence ")), (10 * i + 3, t[: len(t) // 2]), (10 * i + 4, t + "\nand more")]
+        want += [(10 * i, name), (10 * i + 1, name), (10 * i + 2, name), (10 * i + 3, None), (10 * i + 4, None)]
+    out = license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert got(out.select("doc_id", "license_id")) == sorted(want, key=repr)
+
+
 def test_catalogue_has_no_two_ids_for_a_text(spark):
     known = license_scan.catalogue(spark)
     assert known.select("canonical_sha256").distinct().count() == known.count()
