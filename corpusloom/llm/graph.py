@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,21 +18,22 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     which cuts the lineage and survives lost executors. A vertex with many links
     gives one minimum per map task before the shuffle.
     """
-    edges = scratch.write("edges", links.select("a", "b").union(links.select("b", "a")).distinct().toDF("v", "w"))
+    run = uuid.uuid4().hex[:8]
+    edges = scratch.write(f"{run}-edges", links.select("a", "b").union(links.select("b", "a")).distinct().toDF("v", "w"))
     first = edges.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("label"))
-    labels = scratch.write("labels-0", first)
+    labels = scratch.write(f"{run}-labels-0", first)
     step = 0
     while True:
         step += 1
         near = edges.join(labels.toDF("w", "label"), "w").groupBy("v").agg(F.min("label").alias("near"))
         lower = labels.join(near, "v").select("v", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        lower = scratch.write(f"lower-{step}", lower)
+        lower = scratch.write(f"{run}-lower-{step}", lower)
         jump = lower.select(F.col("v").alias("label"), F.col("label").alias("further"))
         moved = lower.join(jump, "label", "left").select("v", F.least("label", F.coalesce("further", "label")).alias("label"), "was")
-        written = scratch.write(f"labels-{step}", moved)
+        written = scratch.write(f"{run}-labels-{step}", moved)
         changed = written.filter("label <> was").isEmpty()
-        scratch.drop(f"lower-{step}", f"labels-{step - 1}")
+        scratch.drop(f"{run}-lower-{step}", f"{run}-labels-{step - 1}")
         labels = written.select("v", "label")
         if changed:
-            scratch.drop("edges")
+            scratch.drop(f"{run}-edges")
             return labels
