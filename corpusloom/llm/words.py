@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes that are hashed at once, and bytes of the rows that make up a slice (a longer row is a slice of its own).
-BLOCK, SLICE = 1 << 18, 1 << 21
+BLOCK, SLICE = 1 << 18, 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _ONE_SPACE = bytes(0x20 if _SPACE[b] else b for b in range(256))
