@@ -142,6 +142,54 @@ def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             return
 
 
+class _Stack(list):
+    """The open elements, with how many there are of each tag, so that a search for a tag that isn't open ends at once."""
+
+    def __init__(self, nodes: list[Node]):
+        super().__init__(nodes)
+        self.tags: dict[str, int] = {}
+        self.held: set[Node] = set(nodes)
+        for n in nodes:
+            self.tags[n.tag] = self.tags.get(n.tag, 0) + 1
+
+    def _in(self, n: Node) -> None:
+        self.held.add(n)
+        self.tags[n.tag] = self.tags.get(n.tag, 0) + 1
+
+    def _out(self, n: Node) -> None:
+        self.held.discard(n)
+        self.tags[n.tag] -= 1
+
+    def __contains__(self, n: object) -> bool:
+        return n in self.held
+
+    def append(self, n: Node) -> None:
+        super().append(n)
+        self._in(n)
+
+    def insert(self, at: int, n: Node) -> None:
+        super().insert(at, n)
+        self._in(n)
+
+    def pop(self) -> Node:
+        n = super().pop()
+        self._out(n)
+        return n
+
+    def remove(self, n: Node) -> None:
+        super().remove(n)
+        self._out(n)
+
+    def __delitem__(self, at: int) -> None:
+        self._out(self[at])
+        super().__delitem__(at)
+
+    def __setitem__(self, at: int, n: Node) -> None:
+        self._out(self[at])
+        super().__setitem__(at, n)
+        self._in(n)
+
+
 class _Builder:
     def __init__(self):
         self.document = Node("#document")
@@ -149,7 +197,7 @@ class _Builder:
         self.document.append(self.html)
         self.head: Node | None = None
         self.body: Node | None = None
-        self.stack: list[Node] = [self.html]
+        self.stack: list[Node] = _Stack([self.html])
         self.active: list[Node | None] = []  # formatting elements that carry on; None is a marker
         self.raw: Node | None = None
         self.skip_line = False
@@ -167,9 +215,11 @@ class _Builder:
             self._in_head()
             self.body = Node("body", attrs)
             self.html.append(self.body)
-            self.stack = [self.html, self.body]
+            self.stack = _Stack([self.html, self.body])
 
     def _scoped(self, tags: tuple[str, ...] | frozenset, more: tuple[str, ...] = ()) -> Node | None:
+        if not any(self.stack.tags.get(t) for t in tags):  # most searches; so nesting costs no time
+            return None
         for n in reversed(self.stack):
             if n.tag in tags:
                 return n
@@ -289,7 +339,7 @@ class _Builder:
                 copy.append(last)
                 last = copy
             if above.tag in _TABLE_PARTS:
-                keep, self.stack = self.stack, self.stack[: self.stack.index(above) + 1]
+                keep, self.stack = self.stack, _Stack(self.stack[: self.stack.index(above) + 1])
                 last.detach()
                 self._put(last)
                 self.stack = keep
@@ -381,7 +431,7 @@ class _Builder:
         if tag in _CLOSES_P:
             if tag in ("li", "dd", "dt"):
                 own = ("li",) if tag == "li" else ("dd", "dt")
-                for n in reversed(self.stack):
+                for n in reversed(self.stack if any(self.stack.tags.get(t) for t in own) else ()):
                     if n.tag in own:
                         self._implied(n.tag)
                         self._close_to(n)
@@ -494,6 +544,8 @@ class _Builder:
             self._end_other(tag)
 
     def _end_scoped(self, tag: str, more: tuple[str, ...]) -> None:
+        if not self.stack.tags.get(tag):
+            return
         for n in reversed(self.stack):
             if n.tag == tag:
                 self._implied(tag)
@@ -503,6 +555,8 @@ class _Builder:
                 return
 
     def _end_other(self, tag: str) -> None:
+        if not self.stack.tags.get(tag):
+            return
         for n in reversed(self.stack):
             if n.tag == tag:
                 self._implied(tag)

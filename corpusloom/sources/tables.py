@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +14,16 @@ def parse_page_lines(lines: DataFrame) -> DataFrame:
     """url, title and html of JSON lines (column value).
 
     Blank lines give no row; a line that isn't a JSON object gives an empty one, so
-    that the number of rows is that of the lines.
+    that the number of rows is that of the lines; so does one whose url, title or html is
+    anything but a string or null.
     """
     given = lines.filter(F.length(F.regexp_replace("value", r"[\r\n]+$", "")) > 0)
+    names = ("url", "title", "html")
     j = F.from_json("value", "url string, title string, html string")
-    return given.select(*[F.coalesce(j[c], F.lit("")).alias(c) for c in ("url", "title", "html")])
+    v = F.try_parse_json("value")
+    kind = lambda c: F.schema_of_variant(F.try_variant_get(v, f"$.{c}", "variant"))
+    fine = F.coalesce(reduce(lambda a, b: a & b, (F.coalesce(kind(c), F.lit("VOID")).isin("STRING", "VOID") for c in names)), F.lit(False))
+    return given.select(*[F.when(fine, F.coalesce(j[c], F.lit(""))).otherwise(F.lit("")).alias(c) for c in names])
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

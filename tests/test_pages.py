@@ -129,3 +129,16 @@ def test_robots_text():
     groups, delay = parse_robots("Disallow: /lost\nUser-agent: A\nUser-Agent: B # two\nDisallow: /x\nAllow: /x/y\nCrawl-delay: 1\nUser-agent: *\nDisallow:\nCrawl-delay: 2.5\nCrawl-delay: -1\nnonsense")
     assert [g["agents"] for g in groups] == [["a", "b"], ["*"]] and delay == 2.5
     assert groups[0]["rules"] == [{"allow": False, "prefix": "/x"}, {"allow": True, "prefix": "/x/y"}]
+
+
+def test_deep_nesting_takes_linear_time():
+    """Opening and closing tags of each kind under many open elements; quadratic time would take minutes."""
+    import time
+
+    n = 30_000
+    shapes = ["<div>" * n, "<b>x" + "<div>" * n + "</p>" * n, "<div>" * n + "<li>a</li>" * n, "<span>" * n + "</i>" * n, "<div>" * n + "</div>" * n + "<p>end"]
+    begun = time.process_time()
+    for s in shapes:
+        doc = parse(s)
+        assert sum(1 for _ in doc.elements()) > n
+    assert time.process_time() - begun < 60
