@@ -16,13 +16,15 @@ METRIC_PUNCT = r"[,.!?;:\x{3000}-\x{303f}\x{ff00}-\x{ff0f}\x{ff1a}-\x{ff1f}\x{20
 TITLE_SPACE = r"[ \t\n\r\x{a0}\x{3000}]"
 SEPARATOR = r"[|\-–—_/\\»«~]"
 TITLE_EDGE = r"^[ \t\n\r\x{a0}\x{3000}|\-–—_/\\»«~]+|[ \t\n\r\x{a0}\x{3000}|\-–—_/\\»«~]+$"
-CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsHangul}]"
+#: All of them lie beyond U+10FF, which spares other characters the look-ups.
+CJK = r"[\x{1100}-\x{10ffff}&&[\p{IsHan}\p{IsHiragana}\p{IsHangul}]]"
 TITLE_TAG = r"(?is)<title[^>]*>(.*?)</title"
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 
 
 def content_chars(c: Column) -> Column:
-    return F.length(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE_CLASS, ""))
+    t = F.coalesce(c, F.lit(""))
+    return F.length(t) - F.regexp_count(t, F.lit(SPACE_CLASS))
 
 
 def punct_count(c: Column) -> Column:
@@ -38,11 +40,11 @@ def cjk_count(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), EDGE_SPACE, ""), f"{SPACE_CLASS}+", " ")
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"{SPACE_CLASS}+", " "))
 
 
 def fold(c: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE_CLASS, ""), PUNCT, ""))
+    return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), f"{SPACE_CLASS}|{PUNCT}", ""))
 
 
 def bigram_overlap(a: Column, b: Column) -> Column:

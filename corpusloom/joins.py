@@ -1,4 +1,4 @@
-"""Joins that stand skewed keys and lists of any length."""
+"""Joins that stand skewed keys and lists of any length, and how small tables are laid out."""
 
 from __future__ import annotations
 
@@ -48,3 +48,13 @@ def filter_by_keys(rows: DataFrame, keys: DataFrame, on: list[str], how: str) ->
         return rows if how == "left_anti" else rows.limit(0)
     hinted = F.broadcast(keys) if n <= BROADCAST_ROWS else keys.hint("merge")
     return rows.join(hinted, same(rows, keys, on), how)
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` over all cores, for work that takes long for each byte.
+
+    A table of fewer files than there are cores may come as fewer tasks than cores, and is small
+    enough to be shuffled; a larger one is left as it is read.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores, key)

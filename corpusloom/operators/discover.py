@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import url
 from corpusloom.functions.html import tokens
-from corpusloom.operators.extract import spread
+from corpusloom.joins import spread
 
 
 def hrefs(html: str) -> Iterator[str]:
@@ -54,7 +54,7 @@ def _listed(pages: DataFrame, fn, name: str) -> DataFrame:
             rows = [(i, u, k, x) for i, u, h in zip(f["page_id"], f["url"], f["html"]) for k, x in enumerate(fn(u, h))]
             yield pd.DataFrame(rows, columns=["page_id", "page_url", "pos", name])
 
-    given = spread(pages.select("page_id", "url", "html")).select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    given = spread(pages.select("page_id", "url", "html"), "page_id").select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     return given.mapInPandas(run, f"page_id bigint, page_url string, pos int, {name} string")
 
 

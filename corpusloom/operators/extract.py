@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import page, url
 from corpusloom.functions.html import Node, parse
+from corpusloom.joins import spread
 from corpusloom.storage import shared_dir
 
 RESULT = "meta_title string, real_title string, main_content string, content_chars int, link_chars int, link_rate double, page_chars int, page_link_rate double, container_tag string, no_article boolean"
@@ -28,16 +29,6 @@ def extract_one(html: str | None, prefix: str = "", suffix: str = "", options: p
         return _EMPTY
 
 
-def spread(pages: DataFrame) -> DataFrame:
-    """``pages`` over all cores, for work that takes long for each byte.
-
-    A table of fewer files than there are cores may come as fewer tasks than cores, and is small
-    enough to be shuffled; a larger one is left as it is read.
-    """
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    return pages if len(pages.inputFiles()) >= cores else pages.repartition(cores, "page_id")
-
-
 def extract_pages(pages: DataFrame, affixes: DataFrame | None = None, options: page.Options = page.Options(), keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``keep``, host and the extraction of every page.
 
@@ -45,7 +36,7 @@ def extract_pages(pages: DataFrame, affixes: DataFrame | None = None, options: p
     left to the planner, which broadcasts them when they are small and else
     shuffles by host.
     """
-    given = spread(pages.select(*dict.fromkeys((*keep, "page_id", "url", "html")))).select(*keep, F.coalesce(url.host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    given = spread(pages.select(*dict.fromkeys((*keep, "page_id", "url", "html"))), "page_id").select(*keep, F.coalesce(url.host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     if affixes is not None:
         given = given.join(affixes, "host", "left").select(*given.columns, F.coalesce("prefix", F.lit("")).alias("prefix"), F.coalesce("suffix", F.lit("")).alias("suffix"))
     else:
@@ -98,7 +89,7 @@ def dom_nodes(pages: DataFrame) -> DataFrame:
             out = pd.DataFrame([r for i, h in zip(f["page_id"], f["html"]) for r in rows(i, h)], columns=names)
             yield out.astype({"parent": "Int32"})
 
-    return spread(pages.select("page_id", F.coalesce("html", F.lit("")).alias("html"))).mapInPandas(run, schema)
+    return spread(pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")), "page_id").mapInPandas(run, schema)
 
 
 def containers(nodes: DataFrame) -> DataFrame:

@@ -1,68 +1,158 @@
-"""Boilerplate that a host repeats, by document frequency of character 5-grams."""
+"""Boilerplate that a host repeats, by document frequency of character 5-grams.
+
+Pages meet by host, in groups of about ``GROUP_BYTES`` so that a large host is spread over tasks; only
+documents are shuffled, never their grams. A gram that half of all pages hold is held by half of the
+pages of some group, so a group puts out no others. A host of one group is settled by that; for a larger
+one, what its groups put out is counted again in each.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import TITLE_SPACE, content_chars
 from corpusloom.functions.url import EDGE_SPACE
+from corpusloom.joins import spread
+from corpusloom.storage import Scratch
 
 N, MIN_SHARE, MIN_PAGES, MIN_SPAN = 5, 0.5, 3, 8
+#: Bytes of a host's pages in one task.
+GROUP_BYTES = 16 << 20
+
+
+def page_grams(texts: list[str]) -> Iterator[np.ndarray]:
+    """The distinct N-grams of each text, as numbers that stand for the same gram in all of them."""
+    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    known = np.unique(np.concatenate(codes)) if codes else np.empty(0, np.uint32)
+    base = len(known)
+    if base**N >= 1 << 64:  # more kinds of characters than a number has room for
+        numbers: dict[str, int] = {}
+        for t in texts:
+            yield np.array([numbers.setdefault(g, len(numbers)) for g in {t[i : i + N] for i in range(len(t) - N + 1)}], np.uint64)
+        return
+    for c in codes:
+        at = np.searchsorted(known, c).astype(np.uint64)
+        size = max(0, len(at) - N + 1)
+        gram = np.zeros(size, np.uint64)
+        for j in range(N):
+            gram = gram * np.uint64(base) + at[j : j + size]
+        yield np.unique(gram)
+
+
+def frequent_grams(texts: list[str], share: float) -> list[tuple[str, int]]:
+    """Each gram that at least this share of the texts hold, and by how many."""
+    values, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *page_grams(texts)]), return_counts=True)
+    wanted = values[counts >= share * len(texts)]
+    if not len(wanted):
+        return []
+    left, out = {int(v): int(n) for v, n in zip(wanted, counts[counts >= share * len(texts)])}, []
+    known = np.unique(np.concatenate([np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]))
+    if len(known) ** N < 1 << 64:
+        for v, n in left.items():
+            gram = []
+            for _ in range(N):
+                v, k = divmod(v, len(known))
+                gram.append(chr(known[k]))
+            out.append(("".join(reversed(gram)), n))
+        return out
+    seen = Counter(g for t in texts for g in {t[i : i + N] for i in range(len(t) - N + 1)})
+    return [(g, n) for g, n in seen.items() if n >= share * len(texts)]
+
+
+def learn_templates(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
+    """host and gram of every 5-gram that at least half of a host's pages hold."""
+    scratch = Scratch(docs.sparkSession, "templates")
+    flat = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), TITLE_SPACE, "")
+    pages = spread(docs.select(host, text), text).select(F.col(host).cast("string").alias("host"), flat.alias("t")).filter((F.length("t") >= N) & F.col("host").isNotNull())
+    need = F.greatest(F.lit(2), F.ceil(F.lit(MIN_SHARE) * F.count(F.lit(1)))).alias("need")
+    groups = F.ceil(F.sum(F.octet_length("t")) / F.lit(GROUP_BYTES)).cast("int").alias("groups")
+    hosts = scratch.write("hosts", pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), need, groups).filter(F.col("pages") >= MIN_PAGES))
+    parted = pages.join(hosts.select("host", "groups"), "host").select("host", F.pmod(F.xxhash64("t"), F.col("groups")).cast("int").alias("part"), "t")
 
+    def learn(key: tuple, rows: pa.Table) -> pa.Table:
+        found = frequent_grams(rows.column("t").to_pylist(), MIN_SHARE)
+        return pa.table({"host": pa.array([key[0].as_py()] * len(found), pa.string()), "gram": pa.array([g for g, _ in found], pa.string()), "df": pa.array([n for _, n in found], pa.int64())})
 
-#: Looks ahead from every character (not from the second half of one) for N of them; one pass over a
-#: text, where substrings by place would each walk it from the start.
-_GRAM = rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{N}}}))"
+    schema = "host string, gram string, df bigint"
+    found = scratch.write("found", parted.groupBy("host", "part").applyInArrow(learn, schema))
+    settled = found.join(hosts.filter("groups = 1"), "host").filter("df >= need").select("host", "gram")
+    large = hosts.filter("groups > 1")
+    if large.isEmpty():
+        return settled
 
+    def recount(key: tuple, rows: pa.Table, asked: pa.Table) -> pa.Table:
+        wanted = set(asked.column("gram").to_pylist())
+        seen = Counter(g for t in rows.column("t").to_pylist() for g in {t[i : i + N] for i in range(len(t) - N + 1)} & wanted)
+        return pa.table({"host": pa.array([key[0].as_py()] * len(seen), pa.string()), "gram": pa.array(list(seen), pa.string()), "df": pa.array(list(seen.values()), pa.int64())})
 
-def _grams(text: str) -> Column:
-    """All N-grams of a text, in order."""
-    return F.regexp_extract_all(F.col(text), F.lit(_GRAM), 1)
+    asked = found.select("host", "gram").distinct().join(large.select("host", "groups"), "host")
+    asked = asked.select("host", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "gram")
+    again = parted.join(large.select("host"), "host", "left_semi").groupBy("host", "part").cogroup(asked.groupBy("host", "part")).applyInArrow(recount, schema)
+    counted = again.groupBy("host", "gram").agg(F.sum("df").alias("df"))
+    return settled.unionByName(scratch.write("large", counted.join(large, "host").filter("df >= need").select("host", "gram")))
 
 
-def learn_templates(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """host and gram of every 5-gram that at least half of a host's pages hold.
+def cut_runs(text: str, grams: set[str]) -> str:
+    """A text without the runs of at least MIN_SPAN characters of a line that grams cover.
 
-    Grams are made distinct within the page, so a page sends each once, and counts
-    are summed before the shuffle.
+    A run of covered characters is a run of hits whose starts are less than N + 1 apart.
     """
-    flat = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), TITLE_SPACE, "")
-    pages = docs.select(F.col(host).alias("host"), flat.alias("t")).filter(F.length("t") >= N)
-    need = F.greatest(F.lit(2), F.ceil(F.lit(MIN_SHARE) * F.count(F.lit(1)))).alias("need")
-    hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), need).filter(F.col("pages") >= MIN_PAGES)
-    grams = pages.select("host", F.explode(F.array_distinct(_grams("t"))).alias("gram"))
-    counted = grams.groupBy("host", "gram").agg(F.count(F.lit(1)).alias("df"))
-    return counted.join(hosts, "host").filter("df >= need").select("host", "gram")
+    lines = text.split("\n")
+    for k, s in enumerate(lines):
+        hits = [i for i in range(len(s) - N + 1) if s[i : i + N] in grams]
+        if not hits:
+            continue
+        runs: list[list[int]] = []
+        for i in hits:
+            if runs and i <= runs[-1][1]:
+                runs[-1][1] = i + N
+            else:
+                runs.append([i, i + N])
+        out, at = [], 0
+        for a, z in runs:
+            if z - a >= MIN_SPAN:
+                out.append(s[at:a])
+                at = z
+        lines[k] = "".join(out) + s[at:]
+    return "\n".join(lines)
 
 
 def strip_templates(docs: DataFrame, templates: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
     """key and stripped text of every row: runs of at least 8 covered characters are cut from its lines, unless that would take more than half.
 
-    Works on lines: a line's grams meet the host's templates in a semi join, and only lines
-    with a hit are cut, by their runs of covered places.
+    A host's grams, few by definition, are joined to its rows as one list, and rows are cut in one pass.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(host).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    lines = rows.select("key", "host", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    long = lines.filter(F.length("s") >= N)
-    grams = long.select("key", "host", "line", F.posexplode(_grams("s")).alias("at", "gram"))
-    hits = grams.join(templates, ["host", "gram"], "left_semi")
-    # a run of covered characters is a run of hits whose starts are less than N + 1 apart
-    order = Window.partitionBy("key", "line").orderBy("at")
-    begins = F.when(F.col("at") - F.lag("at").over(order) <= N, 0).otherwise(1)
-    runs = hits.withColumn("b", begins).withColumn("run", F.sum("b").over(order)).groupBy("key", "line", "run").agg(F.min("at").alias("a"), (F.max("at") + N).alias("z"))
-    cuts = runs.filter(F.col("z") - F.col("a") >= MIN_SPAN).groupBy("key", "line").agg(F.array_sort(F.collect_list(F.struct("a", "z"))).alias("cuts"))
-    kept = F.aggregate(
-        "cuts",
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda s, c: F.struct(F.concat(s["out"], F.substring(F.col("s"), s["at"] + 1, c["a"] - s["at"])).alias("out"), c["z"].alias("at")),
-        lambda s: F.concat(s["out"], F.substring(F.col("s"), s["at"] + 1, F.length("s"))),
-    )
-    cut = lines.join(cuts, ["key", "line"], "left").select("key", "line", F.regexp_replace(F.when(F.col("cuts").isNull(), F.col("s")).otherwise(kept), EDGE_SPACE, "").alias("s"))
-    whole = cut.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "s"))), lambda x: x["s"]), "\n").alias("cut"))
-    has = templates.select("host").distinct().withColumn("learned", F.lit(True))
-    out = rows.join(has, "host", "left").join(whole, "key", "left")
-    safe = (F.col("text") == "") | F.col("learned").isNull() | (content_chars(F.col("cut")) * 2 < content_chars(F.col("text")))
+    lists = templates.groupBy("host").agg(F.collect_set("gram").alias("grams"))
+    given = spread(rows, "key").join(lists, "host", "left").select("key", "host", "text", "grams")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict = {}
+        for b in batches:
+            cut = []
+            for i, (h, t, known) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).is_valid().to_pylist())):
+                if not known:
+                    cut.append(None)
+                    continue
+                if h not in sets:
+                    if len(sets) >= 1000:
+                        sets.clear()
+                    sets[h] = set(b.column(3)[i].as_py())
+                cut.append(cut_runs(t, sets[h]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cut, pa.string()), pa.array([x is not None and len(x) < len(t) for x, t in zip(cut, b.column(2).to_pylist())])], names=["key", "host", "text", "cut", "less"])
+
+    kind = lambda c: given.schema[c].dataType.simpleString()
+    done = given.mapInArrow(run, f"key {kind('key')}, host {kind('host')}, text string, cut string, less boolean")
+    trimmed = F.array_join(F.transform(F.split("cut", "\n"), lambda s: F.regexp_replace(s, EDGE_SPACE, "")), "\n")
+    out = done.withColumn("cut", F.when((F.col("text") != "") & F.col("cut").isNotNull(), trimmed))
+    # trimming alone takes no characters that count
+    safe = F.col("cut").isNull() | (F.col("less") & (content_chars(F.col("cut")) * 2 < content_chars(F.col("text"))))
     return out.select(F.col("key").alias(key), F.col("host").alias(host), F.when(safe, F.col("text")).otherwise(F.col("cut")).alias("stripped"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import url
 from corpusloom.operators import extract, frontier, metrics, templates, titles
+from corpusloom.storage import Scratch
 
 
 def build_corpus(pages: DataFrame, min_content: int = 300, max_link_rate: float = 0.3) -> DataFrame:
@@ -16,7 +17,8 @@ def build_corpus(pages: DataFrame, min_content: int = 300, max_link_rate: float
     """
     known = titles.learn_affixes(metrics.with_titles(pages))
     outs = extract.is_article(extract.extract_pages(pages, known), min_content, max_link_rate)
-    # the parser's result is read three times below; a table is read, the parser would run again
+    # read three times below, so it is written: the parser would run each time
+    outs = Scratch(pages.sparkSession, "corpus").write("extracted", outs)
     cut = templates.strip_templates(outs, templates.learn_templates(outs, "host", "main_content"), "page_id", "host", "main_content")
     return outs.join(cut.select("page_id", "stripped"), "page_id").select("page_id", "url", "host", "meta_title", "real_title", F.col("stripped").alias("main_content"), "content_chars", "link_rate", "is_article")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text, url
+from corpusloom.joins import spread
 from corpusloom.operators import discover, extract, frontier, metrics, robots, sample, templates, titles
 from corpusloom.storage import shared_dir
 from corpusloom.streaming import pages as stream
@@ -309,7 +310,7 @@ SELECT doc_id, {_chars("text")}::INT AS chars, {_count("text", text.PUNCT)}::INT
   {_count("text", "[" + chr(92) + "p{Han}" + chr(92) + "p{Hiragana}" + chr(92) + "p{Hangul}]")}::INT AS cjk, md5({_fold("text")}) AS folded, md5({_collapse("text")}) AS collapsed, substring(sha1(coalesce(text, '')), 1, 16) AS digest FROM documents""")
 def text_profile(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents"), "doc_id").select(
         "doc_id", text.content_chars(t).alias("chars"), text.punct_count(t).alias("punct"), text.metric_punct_count(t).alias("metric_punct"), text.cjk_count(t).alias("cjk"), F.md5(text.fold(t)).alias("folded"),
         F.md5(text.collapse(t)).alias("collapsed"), text.digest(F.coalesce(t, F.lit(""))).alias("digest"),
     )

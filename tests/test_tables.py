@@ -212,3 +212,42 @@ def test_samples_of_many_wide_rows(spark, parts):
         assert sample.every_nth(alike, ["i"], 4).count() == 4 and sample.stratified(alike, "h", ["i"], 2).count() == 4
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_page_lines_of_other_types_are_empty(spark):
+    lines = ['{"url": 5, "title": "t", "html": "h"}', '{"url": "u", "title": null, "html": "h"}', '{"url": "u", "html": ["x"]}', "[1]", "null", "", '"text"', '{"html": "h", "more": {"a": 1}}', "{torn"]
+    out = tables.parse_page_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert [tuple(r) for r in out.collect()] == [("", "", ""), ("u", "", "h"), ("", "", ""), ("", "", ""), ("", "", ""), ("", "", ""), ("", "", "h"), ("", "", "")]
+
+
+def brute_templates(rows):
+    from collections import Counter
+
+    by = {}
+    for h, t in rows:
+        flat = "".join(c for c in t or "" if c not in " \t\n\r\u00a0\u3000")
+        if h is not None and len(flat) >= 5:
+            by.setdefault(h, []).append({flat[i : i + 5] for i in range(len(flat) - 4)})
+    return sorted((h, g) for h, pages in by.items() if len(pages) >= 3 for g, n in Counter(g for p in pages for g in p).items() if n >= max(2, -(-len(pages) // 2)))
+
+
+@pytest.mark.parametrize("group_bytes", [16 << 20, 300])
+def test_templates_of_hosts_in_groups(spark, monkeypatch, group_bytes):
+    """One group for a host, and many; with nulls, empty and short texts, repeated rows and wide characters."""
+    import random
+
+    monkeypatch.setattr(templates, "GROUP_BYTES", group_bytes)
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefg\U0001f600é") for _ in range(rng.randint(2, 8)))
+    rows = []
+    for h in ["a", "b", "c", None]:
+        for k in range({"a": 40, "b": 7, "c": 2}.get(h, 5)):
+            tail = "\nAll rights reserved - \U0001f600 read more" if k % 5 else "\nsomething else"
+            rows.append((h, " ".join(word() for _ in range(12)) + tail))
+    rows += [("a", None), ("a", ""), ("b", "abcd"), rows[0], rows[0]]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, source string, text string")
+    learned = templates.learn_templates(docs)
+    assert sorted(tuple(r) for r in learned.collect()) == brute_templates(rows) and brute_templates(rows)
+    out = {r["doc_id"]: r["stripped"] for r in templates.strip_templates(docs, learned).collect()}
+    assert len(out) == len(rows) and "reserved" not in out[1] and out[len(rows) - 5] == "" and any("reserved" in t for i, t in out.items() if rows[i][0] == "c")
+    assert templates.learn_templates(docs.limit(0)).count() == templates.strip_templates(docs.limit(0), learned).count() == 0
