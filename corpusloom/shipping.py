@@ -11,11 +11,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _DONE: set[str] = set()
+#: Rows of a batch that goes to Python, where the session has Spark's own 10,000: of texts, those may be 30 MB and more, several times over.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shipped(spark: SparkSession) -> SparkSession:
-    """``spark``, with this package sent to its executors, once for an application."""
+    """``spark``, with this package sent to its executors, once for an application, and batches that suit texts."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
     if sc.applicationId not in _DONE:
         root = Path(__file__).resolve().parent
         fd, name = tempfile.mkstemp(prefix="corpusloom-", suffix=".zip")  # the driver's copy; Spark serves it to executors
