@@ -4,8 +4,9 @@ For a byte-level BPE, the encoding of a piece of text is unique, and so is the
 last token of each of its prefixes: of the vocabulary's tokens that end there, it
 is the one that stays a pair with the last token of the prefix before it. So one
 pass over a piece gives the token count of each of its prefixes, from the counts
-of shorter ones. Stretches from one blank to the next repeat, and their count
-vectors are kept in a bounded cache. A text's vector is theirs in a row.
+of shorter ones. Stretches from one blank to the next repeat: Arrow finds the distinct ones of
+a slice of texts, they are cut into pieces, and the vectors of pieces are kept in a bounded
+cache. A stretch's vector is its pieces' in a row, and a text's that of its stretches.
 
 ``write_store`` keeps the count of every prefix of every text in a table, as the
 difference to the prefix before, a byte for a character (most are 0 or 1, and pack well). Whole
@@ -24,12 +25,15 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces and stretches whose counts are kept by a worker before it starts over, and characters of the longest that is kept; so 100 MB at most.
 CACHE_PIECES, CACHED_CHARS = 400_000, 48
+#: Bytes of texts whose stretches are held at once (a longer text is held alone).
+SLICE_BYTES = 8 << 20
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -75,11 +79,17 @@ class PrefixCounter:
         self.at_blanks = regex.compile(r"(?<!\s) ").split
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.cache_pieces = cache_pieces
-        self.space = regex.compile(r"\s").search
+        self.run = regex.compile(r"\s\s").search
+        # the same white space for Arrow, whose own \s is that of ASCII; NUL stands for a blank at which no piece starts
+        as_class = lambda s: "".join(f"\\x{{{ord(c):x}}}" for c in s)
+        w = f"[{as_class(filter(regex.compile(r'\s').match, map(chr, range(0x110000))))}\\x{{0}}]"
+        self.odd_text = "|".join([r"\x{0}", *map(as_class, special)])
+        self.inner_blank = f"({w}) "
+        self.odd_unit = rf"\A\z|\A{w}|{w}\z|{w}{w}"
         #: Pieces that, cut short, are two.
         self.whole = frozenset(("'re", "'ve", "'ll"))
         self.totals: dict[str, int] = {}
-        self.pieces: dict[str, tuple[int, bytes]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.units: dict[str, tuple[int, bytes]] = {}
         self.pairs: dict[int, bool] = {}
 
@@ -138,26 +148,78 @@ class PrefixCounter:
             at = m.end()
         yield text[at:], ""
 
-    def _piece(self, piece: str) -> tuple[int, bytes]:
-        """Tokens of a piece, and the differences of its prefixes' counts."""
-        counts = self._by_char(piece)
-        return self._keep(self.pieces, piece, (counts[-1], bytes([b - a & 255 for a, b in zip(counts, counts[1:])])))
+    def _piece(self, piece: str) -> bytes:
+        """The differences of the counts of a piece's prefixes, as signed bytes."""
+        counts = self._ordinary(piece) if piece in self.whole else self._by_char(piece)
+        # under 128 bytes, none can be out of range
+        made = bytes([b - a & 255 for a, b in zip(counts, counts[1:])]) if len(piece) < 32 else _differences(np.array(counts))
+        return self._keep(self.pieces, piece, made)
 
     def _unit(self, unit: str) -> tuple[int, bytes]:
-        """The same of a stretch: a blank, or none, and what follows up to the next."""
-        found = self.findall(unit)
-        if self.space(unit, 1) or not self.whole.isdisjoint(found):
+        """The tokens and differences of a stretch: a blank, or none, and what follows up to the next."""
+        if self.run(unit):
             counts = np.array(self._ordinary(unit))
             made = int(counts[-1]), _differences(counts)
         else:  # every prefix ends in a prefix of one piece, and the pieces before it stand
-            n, out, get = 0, [], self.pieces.get
-            for piece in found:
-                k, differences = get(piece) or self._piece(piece)
-                n += k
-                out.append(differences)
-            made = n, b"".join(out)
+            get = self.pieces.get
+            differences = b"".join([get(piece) or self._piece(piece) for piece in self.findall(unit)])
+            made = int(np.frombuffer(differences, np.int8).sum(dtype=np.int64)), differences
         return self._keep(self.units, unit, made)
 
+    def _plain_units(self, units: pa.StringArray) -> tuple[np.ndarray, pa.BinaryArray]:
+        """Tokens and differences of stretches that begin with a blank (not given) and have white space only inside, one character at a time."""
+        # so they are a text whose pieces are theirs
+        found = self.findall("".join([" " + x for x in units.to_pylist()]))
+        steps, get = dict.fromkeys(found, b""), self.pieces.get
+        for piece in steps:
+            steps[piece] = get(piece) or self._piece(piece)
+        differences = b"".join([steps[piece] for piece in found])
+        ends = np.concatenate(([0], np.cumsum(pc.utf8_length(units).to_numpy() + 1, dtype=np.int64)))
+        return np.diff(_counts(differences)[ends]), _binary(ends, pa.py_buffer(differences))
+
+    def _plain_texts(self, texts: pa.StringArray) -> tuple[np.ndarray, pa.BinaryArray]:
+        """Tokens and differences of texts without special strings or NULs."""
+        if not len(texts):
+            return np.zeros(0, np.int64), pa.array([], pa.binary())
+        # a piece starts at every blank that follows no white space, so counts add up over the stretches between these; the others are NULs meanwhile
+        for _ in range(2):  # in a run, every other one each time
+            if pc.any(pc.match_substring_regex(texts, self.inner_blank)).as_py():
+                texts = pc.replace_substring_regex(texts, self.inner_blank, "\\1\0")
+        lists = pc.split_pattern(texts, " ")
+        starts, units = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+        n, steps = self._mixed(units.dictionary, self.odd_unit, self._plain_units, lambda x: self._unit(" " + x.replace("\0", " ")))
+        first = [self._unit(x.replace("\0", " ")) for x in lists.values.take(lists.offsets[:-1]).to_pylist()]
+        index = units.indices.to_numpy().copy()
+        index[starts[:-1]] = np.arange(len(n), len(n) + len(first))
+        n, steps = _joined(n, steps, first)
+        put = steps.take(pa.array(index))
+        ends = np.frombuffer(put.buffers()[1], np.int32)[put.offset :][starts]
+        return np.add.reduceat(n[index], starts[:-1]), _binary(ends, put.buffers()[2])
+
+    def _mixed(self, values: pa.StringArray, odd: str, plain, single) -> tuple[np.ndarray, pa.BinaryArray]:
+        """Tokens and differences of all values: those that match ``odd`` one by one, the others together."""
+        alone = pc.match_substring_regex(values, odd)
+        rest = [single(x) for x in values.filter(alone).to_pylist()]
+        n, steps = plain(values.filter(pc.invert(alone)) if rest else values)
+        if not rest:
+            return n, steps
+        alone = alone.to_numpy(zero_copy_only=False)
+        place = np.where(alone, len(n) - 1 + np.cumsum(alone), np.cumsum(~alone) - 1)
+        n, steps = _joined(n, steps, rest)
+        return n[place], steps.take(pa.array(place))
+
+    def vectors(self, texts: pa.StringArray) -> tuple[np.ndarray, pa.BinaryArray]:
+        """``vector`` of each of the texts, as two columns."""
+        texts = pc.fill_null(texts, "")
+        full = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+        made, at = [], 0
+        while at < len(texts) or not made:
+            before = full[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(full, before + SLICE_BYTES, "right")))
+            made.append(self._mixed(texts[at:end], self.odd_text, self._plain_texts, self.vector))
+            at = end
+        return np.concatenate([n for n, _ in made]), pa.concat_arrays([steps for _, steps in made])
+
     def vector(self, text: str | None) -> tuple[int, bytes]:
         """Tokens of a text, and the count of each prefix less that of the prefix before, as signed bytes."""
         n, out, get = 0, [], self.units.get
@@ -229,6 +291,15 @@ def _differences(counts: np.ndarray) -> bytes:
     return steps.astype(np.int8).tobytes()
 
 
+def _binary(ends: np.ndarray, data: pa.Buffer) -> pa.BinaryArray:
+    """The stretches of data between neighbouring ends."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), data])
+
+
+def _joined(n: np.ndarray, steps: pa.BinaryArray, more: list[tuple[int, bytes]]) -> tuple[np.ndarray, pa.BinaryArray]:
+    return np.concatenate((n, np.array([k for k, _ in more], np.int64))), pa.concat_arrays([steps, pa.array([x for _, x in more], pa.binary())])
+
+
 def _counts(differences: bytes) -> np.ndarray:
     """Counts of all prefixes, from the empty one on."""
     return np.concatenate(([0], np.cumsum(np.frombuffer(differences, np.int8), dtype=np.int64)))
@@ -244,11 +315,14 @@ def counter(path: str) -> PrefixCounter:
     return _COUNTERS[path]
 
 
+def _sizes(texts: pa.StringArray) -> pa.Array:
+    return pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+
+
 def _map(docs: DataFrame, id_col: str, text_col: str, schema: str, row) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), *row(texts)], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *row(b.column(1))], names=names)
 
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     names = ["doc_id", *(x.split()[0] for x in schema.split(", "))]
@@ -259,17 +333,15 @@ def count(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id",
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row."""
 
     def row(texts):
-        c = counter(path)
-        n = [c.total(t) for t in texts]
-        size = pa.array([len((t or "").encode()) for t in texts], pa.int64())
-        return size, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())
+        n, _ = counter(path).vectors(texts)
+        return _sizes(texts), pa.array(n), pa.array(n > limit)
 
     return _map(docs, id_col, text_col, "n_bytes bigint, n_tokens bigint, over_limit boolean", row)
 
 
 def prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and counts, whose item k (from 0) is the exact token count of the first k characters."""
-    return _map(docs, id_col, text_col, "counts array<int>", lambda texts: [pa.array([counter(path).prefixes(t) for t in texts], pa.list_(pa.int32()))])
+    return _map(docs, id_col, text_col, "counts array<int>", lambda texts: [pa.array([counter(path).prefixes(t) for t in texts.to_pylist()], pa.list_(pa.int32()))])
 
 
 def write_store(docs: DataFrame, path: str, where: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,15 +350,8 @@ def write_store(docs: DataFrame, path: str, where: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                n, steps, size = [], [], []
-                for t in part.column(2).to_pylist():
-                    total, differences = c.vector(t)
-                    n.append(total)
-                    steps.append(differences)
-                    size.append(len((t or "").encode()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(steps, pa.binary())], names=names)
+            n, steps = c.vectors(b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _sizes(b.column(2)), pa.array(n), steps], names=names)
 
     given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     names = ["doc_id", "text_key", "n_bytes", "n_tokens", "prefixes"]

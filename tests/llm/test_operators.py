@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -396,6 +397,30 @@ def test_prefix_counts_are_those_of_the_library(vocabulary):
     assert small.total(long) == count(long)
 
 
+def test_token_counts_of_many_texts_encode_each_piece_once(vocabulary, monkeypatch):
+    from tokenizers import Tokenizer
+
+    lib, rng = Tokenizer.from_file(vocabulary), random.Random(2)
+    words = ["".join(rng.choice(["tion", "ä", "the", "er", "x"]) for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", ".", ",", "'ll", ".\nA"]) for _ in range(60)) for _ in range(100)]
+    odd = [None, "", " ", "a ", " a", "a  b", "  a", "a\n    b   ", "a\0  b", "a\n b", "\n", "a\n", "a \n", "a\n\nb c\u3000", "a <|endoftext|> b", "\u3000 \x85a\xa0b", "-" * 300, "x" * 3000]
+    own = prefix_tokens.PrefixCounter(vocabulary, cache_pieces=10)
+    encode, pieces = own.piece_prefixes, []
+    monkeypatch.setattr(own, "piece_prefixes", lambda piece: pieces.append(piece) or encode(piece))
+    own.vectors(pa.array(texts))
+    # the pieces of texts, then those of their first words
+    assert len(pieces) <= len({x for t in texts for x in own.findall(t)}) + 3 * len(texts)
+    texts += odd
+    rng.shuffle(texts)
+    for size in (1, 500, 1 << 20):  # slices of a text, some texts and all
+        monkeypatch.setattr(prefix_tokens, "SLICE_BYTES", size)
+        n, steps = own.vectors(pa.array(["cut off", *texts])[1:])
+        assert n.tolist() == [len(lib.encode(t or "", add_special_tokens=False).ids) for t in texts]
+        assert list(zip(n.tolist(), steps.to_pylist())) == [own.vector(t) for t in texts]
+    n, steps = own.vectors(pa.array([], pa.string()))
+    assert len(n) == len(steps) == 0
+
+
 def test_token_queries(docs, rows, nothing, vocabulary, tmp_path):
     from tokenizers import Tokenizer
 
