@@ -3,43 +3,57 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import decontaminate, exact_dedup, lang_id, mixing, near_dedup
 from corpusloom.llm.common import Scratch, read_table
+from corpusloom.shipping import shipped
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Documents of a lower score are in none of the known languages, or too short to tell.
 #: On 0.1 scale, 14 samples of other languages scored 0.01 at most, 1,955 of 1,960 held-out labelled texts 0.15 or more.
 MIN_LANGUAGE_SCORE = 0.15
 
 
+def _ready(stage: Stage) -> Stage:
+    """The stage, once executors can import the package and batches suit texts: stages are also run one by one, without ``run``."""
+    return wraps(stage)(lambda spark, docs, sf_dir: stage(shipped(spark), docs, sf_dir))
+
+
+@_ready
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language can be told."""
     return lang_id.confident(docs, MIN_LANGUAGE_SCORE)
 
 
+@_ready
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of equal texts."""
     return exact_dedup.keep_one(docs)
 
 
+@_ready
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates."""
     return near_dedup.keep_one(docs, words=5, percent=80)
 
 
+@_ready
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that hold no benchmark item."""
     return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+@_ready
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draw documents so that sources, languages and topics meet their target weights."""
     return mixing.draw(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language_id", language),
     ("exact_dedup", exact),
     ("near_dedup", near),

@@ -28,6 +28,7 @@ import uuid
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -211,8 +212,9 @@ def cell_rates(docs: DataFrame, given: dict | None = None, temperature: float =
         return _spark_rates(cells, given or {}, temperature, share, scratch)
     rows = cells.collect()
     rates = _driver_rates(rows, given or {}, temperature, share) if rows else []
-    schema = f"{', '.join(f'{m} string' for m in MARGINS)}, docs bigint, tokens bigint, rate double"
-    return spark.createDataFrame([(*r, x) for r, x in zip(rows, rates)], schema)
+    # as an Arrow table: rows would start Python workers of another kind on the executors, which stay beside those of the operators
+    columns = {m: pa.array([r[m] for r in rows], pa.string()) for m in MARGINS} | {c: pa.array([r[c] for r in rows], pa.int64()) for c in ("docs", "tokens")}
+    return spark.createDataFrame(pa.table(columns | {"rate": pa.array(rates, pa.float64())}))
 
 
 def _margins(docs: DataFrame, text_col: str) -> list[Column]:

@@ -3,7 +3,10 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
+import pytest
 from corpusloom.llm import decontaminate, lang_id, mixing
+from corpusloom.shipping import BATCH_BYTES, BATCH_ROWS
 
 from .test_operators import WORDS, prose, shingles, squeezed
 
@@ -74,3 +77,33 @@ def test_language_stage_rejects_what_was_not_learned(spark, tmp_path):
     assert kept == {r[0] for r in rows}
     (_,), (score,) = lang_id.fit(docs).predict([foreign[1].replace(" ", "")])
     assert score < 0.05
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_a_stage_run_by_itself_bounds_the_batches_of_python(spark, tmp_path, stage):
+    spark.createDataFrame([(0, prose(random.Random(13), 30))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id bigint, text string, lang string, source string"
+    limits = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(k) for k in limits]
+    for k in limits:
+        spark.conf.unset(k)
+    try:
+        dict(corpus_pipeline.STAGES)[stage](spark, spark.createDataFrame([(1, "a b c", "aa", "s0")], schema), str(tmp_path))
+        sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"]) for b in batches)
+        short = spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n bigint, size bigint").collect()
+        long = spark.range(0, 300, 1, 1).selectExpr("repeat('long text ', 10000) AS text").mapInArrow(sizes, "n bigint, size bigint").collect()
+    finally:
+        for k, v in zip(limits, before):
+            spark.conf.set(k, v)
+    assert sum(r["n"] for r in short) == 5000 and max(r["n"] for r in short) == BATCH_ROWS
+    assert sum(r["n"] for r in long) == 300 and max(r["size"] for r in long) < BATCH_BYTES + 200_000
+
+
+def test_rates_of_cells_need_no_python_on_executors(spark):
+    schema = "doc_id bigint, text string, lang string, source string"
+    docs = spark.createDataFrame([(i, f"word {'w ' * (i % 7)}", None if i % 5 == 0 else f"l{i % 3}", f"s{i % 2}") for i in range(60)], schema)
+    rates = mixing.cell_rates(docs)
+    assert "PythonRDD" not in rates._jdf.queryExecution().toRdd().toDebugString()
+    assert rates.dtypes == [("source", "string"), ("lang", "string"), ("topic", "string"), ("docs", "bigint"), ("tokens", "bigint"), ("rate", "double")]
+    assert sum(r["docs"] for r in rates.collect()) == 60 and rates.filter("lang IS NULL").count() > 0
+    assert mixing.cell_rates(docs.limit(0)).collect() == []
