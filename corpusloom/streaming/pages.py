@@ -96,6 +96,15 @@ def first_seen(addresses: DataFrame) -> DataFrame:
     return norm.filter("url_norm IS NOT NULL").dropDuplicates(["url_norm"])
 
 
-def request_rates(requests: DataFrame, host: str, ts: str, window: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """Requests of each host by event-time window; rows later than ``late`` are left out and closed windows' state is dropped."""
-    return requests.withWatermark(ts, late).groupBy(F.window(ts, window), host).agg(F.count(F.lit(1)).alias("requests"))
+def request_rates(requests: DataFrame, host: str, ts: str, window: str = "1 hour", late: str | None = "1 day") -> DataFrame:
+    """Requests of each host by event-time window; rows later than ``late`` are left out and closed windows' state is dropped. Without it, all count."""
+    return (requests.withWatermark(ts, late) if late else requests).groupBy(F.window(ts, window), host).agg(F.count(F.lit(1)).alias("requests"))
+
+
+def rates_by_batch(rates: DataFrame, out_path: str, checkpoint: str):
+    """Start a query that writes, of each batch, the windows that it changed. A window's count only grows, so its largest is its last."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+
+    return rates.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

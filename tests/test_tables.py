@@ -251,3 +251,23 @@ def test_templates_of_hosts_in_groups(spark, monkeypatch, group_bytes):
     out = {r["doc_id"]: r["stripped"] for r in templates.strip_templates(docs, learned).collect()}
     assert len(out) == len(rows) and "reserved" not in out[1] and out[len(rows) - 5] == "" and any("reserved" in t for i, t in out.items() if rows[i][0] == "c")
     assert templates.learn_templates(docs.limit(0)).count() == templates.strip_templates(docs.limit(0), learned).count() == 0
+
+
+def test_request_rates_stay_out_of_the_driver(spark, tmp_path):
+    """Two files, so two batches; rows of one window in both, and one eleven years late."""
+    import duckdb
+
+    from corpusloom import queries
+
+    for k, days in enumerate([["2024-01-01 01:00:00", "2024-01-02 00:00:00"], ["2024-01-01 05:00:00", "2013-01-01 00:00:00"]]):
+        rows = spark.createDataFrame([(k * 10 + i, t, 7) for i, t in enumerate(days)], "event_id bigint, ts string, user_id bigint").withColumn("ts", F.to_timestamp_ntz(F.col("ts")))
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    read = stream.read_stream
+    queries.stream.read_stream, was = (lambda s, p: read(s, p, 1)), stream.read_stream
+    try:
+        out = queries.QUERIES["stream_request_rates"](spark, str(tmp_path))
+    finally:
+        queries.stream.read_stream = was
+    want = duckdb.sql(queries.SQL["stream_request_rates"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want) and len(want) == 3
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("rates_")]
