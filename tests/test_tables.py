@@ -253,6 +253,34 @@ def test_templates_of_hosts_in_groups(spark, monkeypatch, group_bytes):
     assert templates.learn_templates(docs.limit(0)).count() == templates.strip_templates(docs.limit(0), learned).count() == 0
 
 
+def test_copies_of_a_text_are_spread_over_groups(spark, monkeypatch):
+    """Groups by text alone would put all copies into one task."""
+    import glob
+    import os
+    from urllib.parse import urlparse
+
+    from corpusloom.storage import shared_dir
+
+    monkeypatch.setattr(templates, "GROUP_BYTES", 1000)
+    docs = spark.createDataFrame([(i, "h", "one and the same page " * 3) for i in range(400)], "doc_id int, source string, text string")
+    learned = {r["gram"] for r in templates.learn_templates(docs, key="doc_id").collect()}
+    own = "oneandthesamepage" * 3
+    assert learned == {own[i : i + 5] for i in range(len(own) - 4)}
+    groups = spark.read.parquet(max(glob.glob(f"{urlparse(shared_dir(spark)).path}/templates-*/found"), key=os.path.getmtime)).filter("gram IS NULL")
+    assert groups.agg(F.max("df")).first()[0] < 100
+
+
+def test_grams_that_groups_leave_open_are_counted_again(spark, monkeypatch):
+    """Shares around a half, so that a group's count alone tells too little."""
+    import random
+
+    monkeypatch.setattr(templates, "GROUP_BYTES", 200)
+    rng = random.Random(4)
+    rows = [("h", "".join(f"{w}{'!' * (rng.random() < p)}zzzz" for w, p in [("alpha", 0.45), ("beta", 0.5), ("gamma", 0.55), ("delta", 0.9), ("eps", 0.1)])) for _ in range(120)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id int, source string, text string")
+    assert sorted(tuple(r) for r in templates.learn_templates(docs, key="doc_id").collect()) == brute_templates(rows)
+
+
 def test_request_rates_stay_out_of_the_driver(spark, tmp_path):
     """Two files, so two batches; rows of one window in both, and one eleven years late."""
     import duckdb
