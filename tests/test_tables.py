@@ -281,6 +281,18 @@ def test_grams_that_groups_leave_open_are_counted_again(spark, monkeypatch):
     assert sorted(tuple(r) for r in templates.learn_templates(docs, key="doc_id").collect()) == brute_templates(rows)
 
 
+def test_one_parse_tells_what_each_variant_does(site, monkeypatch):
+    parsed = []
+    parse = page.parse
+    monkeypatch.setattr(page, "parse", lambda h: parsed.append(h) or parse(h))
+    known = page.Affixes("Story ", " | The Site")
+    ways = [(a, page.Options(**o)) for a in (known, page.Affixes()) for o in ({}, {"no_punct": True}, {"no_link": True}, {"no_propagate": True}, {"keep_attribution": True})]
+    for r in site.collect():
+        del parsed[:]
+        told = page.extract_each(r["html"] or "", ways)
+        assert len(parsed) == 1 and told == [page.extract(r["html"] or "", *w) for w in ways]
+
+
 def test_request_rates_stay_out_of_the_driver(spark, tmp_path):
     """Two files, so two batches; rows of one window in both, and one eleven years late."""
     import duckdb
